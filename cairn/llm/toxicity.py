@@ -81,8 +81,11 @@ def features(texts, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for h in _hashes(codes):
             got = slots[h[:last]]
             at = np.flatnonzero(got >= 0)
-            doc = np.asarray(rows)[np.searchsorted(starts, at, side="right") - 1]
-            keys.append(np.unique(doc.astype(np.int64) * (1 << 32) + got[at]))
+            piece = np.searchsorted(starts, at, side="right") - 1
+            # The overlap at a piece's end belongs to the next piece.
+            own = at - starts[piece] < PIECE
+            doc = np.asarray(rows)[piece[own]]
+            keys.append(np.unique(doc.astype(np.int64) * (1 << 32) + got[at[own]]))
     merged = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
     return merged >> 32, merged & 0xFFFFFFFF
 

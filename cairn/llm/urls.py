@@ -2,7 +2,7 @@
 
 Explicit rules decide first.  The pages that they decide also label the others: per host, paths become branches
 of at most ``DEPTH`` segments in which numbers, hex strings and numbered files are wildcards; level by level, the
-segments below one parent are generalised to a wildcard where they are many and rarely repeat; then sibling
+segments below one parent that rarely repeat are generalised to a wildcard where they are many; then sibling
 branches whose smoothed share of blocked labels falls into the same class are merged, their counts pooled.  A
 template is rejected if the pooled, smoothed purity (blocked / (labelled + SMOOTH)) reaches ``REJECT``.
 
@@ -31,7 +31,7 @@ RULES = (
 )
 DEPTH = 3
 MANY = 10
-REPEATS = 3.0
+REPEATS = 3
 SMOOTH = 2.0
 REJECT = 0.5
 LOW, HIGH = 0.25, 0.75
@@ -77,12 +77,13 @@ def templates(branches: DataFrame) -> DataFrame:
     levels = [f"_url_s{k}" for k in range(1, DEPTH + 1)]
     tree, parent = branches, ["host"]
     for k, level in enumerate(levels, 1):
-        children = tree.groupBy(*parent, level).agg(F.sum("n").alias("_url_n"))
-        stats = children.groupBy(*parent).agg(F.count("*").alias("_url_c"), F.sum("_url_n").alias("_url_n"))
-        stats = stats.select(*[F.col(c).alias(f"_url_p{i}") for i, c in enumerate(parent)], ((F.col("_url_c") >= MANY) & (F.col("_url_n") < REPEATS * F.col("_url_c"))).alias("_url_wild"))
-        on = [F.col(c) == F.col(f"_url_p{i}") for i, c in enumerate(parent)]
-        wild = F.when(F.col("_url_wild") & (F.col(level) != ""), F.lit("*")).otherwise(F.col(level))
-        tree = tree.join(stats, on, "left").withColumn(f"_url_t{k}", wild).drop("_url_wild", *[f"_url_p{i}" for i in range(len(parent))])
+        rare = tree.groupBy(*parent, level).agg(F.sum("n").alias("_url_n")).where((F.col("_url_n") < REPEATS) & (F.col(level) != ""))
+        many = rare.groupBy(*parent).agg(F.count("*").alias("_url_c")).where(F.col("_url_c") >= MANY)
+        many = many.select(*[F.col(c).alias(f"_url_p{i}") for i, c in enumerate(parent)])
+        variable = rare.join(many, [F.col(c) == F.col(f"_url_p{i}") for i, c in enumerate(parent)])
+        variable = variable.select(*[F.col(c).alias(f"_url_v{i}") for i, c in enumerate([*parent, level])], F.lit(True).alias("_url_wild"))
+        tree = tree.join(variable, [F.col(c) == F.col(f"_url_v{i}") for i, c in enumerate([*parent, level])], "left")
+        tree = tree.withColumn(f"_url_t{k}", F.when(F.col("_url_wild"), F.lit("*")).otherwise(F.col(level))).drop("_url_wild", *[f"_url_v{i}" for i in range(len(parent) + 1)])
         parent = [*parent, f"_url_t{k}"]
     leaf = [*parent, "_url_more"]
     pooled = tree.groupBy(*leaf).agg(F.sum("blocked").alias("_url_b"), F.sum("labelled").alias("_url_l"))
@@ -136,12 +137,12 @@ s AS (
            CASE WHEN regexp_matches(x, '^[0-9]+$') THEN '{n}' WHEN regexp_matches(x, '^[0-9]+\.[A-Za-z0-9]+$') THEN regexp_replace(x, '^[0-9]+', '{n}')
                 WHEN regexp_matches(x, '^[0-9a-fA-F-]{16,}$') THEN '{h}' ELSE x END) AS z FROM r),
 b AS (SELECT host, z[1] AS s1, z[2] AS s2, z[3] AS s3, more, count(*) AS n, coalesce(sum(blk), 0) AS blocked, count(blk) AS labelled FROM s GROUP BY ALL),
-w1 AS (SELECT host, count(*) >= 10 AND sum(n) < 3.0 * count(*) AS wild FROM (SELECT host, s1, sum(n) AS n FROM b GROUP BY ALL) GROUP BY ALL),
-b1 AS (SELECT b.*, CASE WHEN wild AND s1 <> '' THEN '*' ELSE s1 END AS t1 FROM b JOIN w1 USING (host)),
-w2 AS (SELECT host, t1, count(*) >= 10 AND sum(n) < 3.0 * count(*) AS wild FROM (SELECT host, t1, s2, sum(n) AS n FROM b1 GROUP BY ALL) GROUP BY ALL),
-b2 AS (SELECT b1.*, CASE WHEN wild AND s2 <> '' THEN '*' ELSE s2 END AS t2 FROM b1 JOIN w2 USING (host, t1)),
-w3 AS (SELECT host, t1, t2, count(*) >= 10 AND sum(n) < 3.0 * count(*) AS wild FROM (SELECT host, t1, t2, s3, sum(n) AS n FROM b2 GROUP BY ALL) GROUP BY ALL),
-b3 AS (SELECT b2.*, CASE WHEN wild AND s3 <> '' THEN '*' ELSE s3 END AS t3 FROM b2 JOIN w3 USING (host, t1, t2)),
+w1 AS (SELECT host, s1, true AS wild FROM (SELECT host, s1, sum(n) AS n FROM b WHERE s1 <> '' GROUP BY ALL) WHERE n < 3 QUALIFY count(*) OVER (PARTITION BY host) >= 10),
+b1 AS (SELECT b.*, CASE WHEN wild THEN '*' ELSE s1 END AS t1 FROM b LEFT JOIN w1 USING (host, s1)),
+w2 AS (SELECT host, t1, s2, true AS wild FROM (SELECT host, t1, s2, sum(n) AS n FROM b1 WHERE s2 <> '' GROUP BY ALL) WHERE n < 3 QUALIFY count(*) OVER (PARTITION BY host, t1) >= 10),
+b2 AS (SELECT b1.*, CASE WHEN wild THEN '*' ELSE s2 END AS t2 FROM b1 LEFT JOIN w2 USING (host, t1, s2)),
+w3 AS (SELECT host, t1, t2, s3, true AS wild FROM (SELECT host, t1, t2, s3, sum(n) AS n FROM b2 WHERE s3 <> '' GROUP BY ALL) WHERE n < 3 QUALIFY count(*) OVER (PARTITION BY host, t1, t2) >= 10),
+b3 AS (SELECT b2.*, CASE WHEN wild THEN '*' ELSE s3 END AS t3 FROM b2 LEFT JOIN w3 USING (host, t1, t2, s3)),
 f AS (SELECT host, t1, t2, t3, more, sum(blocked) AS bl, sum(labelled) AS la FROM b3 GROUP BY ALL),
 g AS (SELECT *, CASE WHEN la = 0 THEN 'none' WHEN bl / (la + 2.0) >= 0.75 THEN 'high' WHEN bl / (la + 2.0) <= 0.25 THEN 'low' ELSE 'mixed' END AS alike FROM f),
 m AS (SELECT host, t1, t2, more, alike, sum(bl) / (sum(la) + 2.0) >= 0.5 AS reject FROM g GROUP BY ALL),
