@@ -32,6 +32,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compact(df: DataFrame, rows: int, rows_a_part: int = 50_000) -> DataFrame:
+    """Narrow rows in as many partitions as ``rows`` of them are worth, so that later shuffles write few files."""
+    return df.coalesce(max(8, -(-rows // rows_a_part)))
+
+
 def text_or_empty(column: str = "text") -> Column:
     """The text column with null read as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

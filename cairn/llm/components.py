@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import checkpoint
+from cairn.llm.common import checkpoint, compact
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-    least = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")))
+    least = checkpoint(compact(both.groupBy("u").agg(F.min("v").alias("m")), n))
     return both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("a"), F.least("u", "m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = checkpoint(down.groupBy("u").agg(F.min("v").alias("m")))
+    least = checkpoint(compact(down.groupBy("u").agg(F.min("v").alias("m")), n))
     moved = down.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select(F.col("u"), F.col("m"))).distinct()
 
@@ -28,8 +28,11 @@ def components(edges: DataFrame) -> DataFrame:
     checkpoints; edges never meet in one list.  The number of steps grows with the logarithm of the longest path.
     """
     now, seen = checkpoint(edges.where(F.col("a") != F.col("b")).select("a", "b").distinct()), None
+    n = now.count()
+    now = compact(now, n)
     while True:
-        now = checkpoint(_small_star(checkpoint(_large_star(now))))
+        now = checkpoint(compact(_large_star(now, n), n))
+        now = checkpoint(compact(_small_star(now, n), n))
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
         if state == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))

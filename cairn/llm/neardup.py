@@ -9,8 +9,9 @@ counts) is ``SIMILARITY`` or more are linked, equal texts always are, and a clas
    gives m - 1 candidates.  Candidates are verified on the exact shingle counts, and verified ones joined.
 3. Buckets that still hold more than one component may hide links between members other than the least.  They
    are cut into blocks of bounded bytes; each pair of blocks is one group, in which members of different
-   components are compared by signature, verified exactly where the signatures don't rule it out (agreement below
-   ``MAYBE`` has probability under 1e-6 at 0.8), and only a spanning forest of the found links is returned.
+   components are compared by signature (agreement below ``MAYBE`` has probability under 1e-6 at 0.8).  Members
+   with a possible link meet again with their shingle counts, are verified exactly, and only a spanning forest of
+   the found links is returned.
 
 Scale.  Shuffled rows are one node, its bands, and the shingle counts of nodes that share a bucket; text is
 shuffled once, to bring the counts of those nodes together.  A bucket, copy group or component of any size meets
@@ -29,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import checkpoint, table, text_or_empty
+from cairn.llm.common import checkpoint, compact, table, text_or_empty
 from cairn.llm.components import components
 from cairn.llm.darts import signatures, weighted_jaccard
 from cairn.llm.shingles import mix, shingles
@@ -54,7 +55,7 @@ def _sign(texts: pd.Series) -> pd.DataFrame:
             for r in range(ROWS):
                 h = mix(h * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, r])
         for i, at in enumerate(mine):
-            sig[at], bands[at] = s[i].astype(np.uint32).tobytes(), h[i].view(np.int64).tolist()
+            sig[at], bands[at] = s[i].astype(np.uint8).tobytes(), h[i].view(np.int64).tolist()
     return pd.DataFrame({"sig": sig, "bands": bands})
 
 
@@ -80,20 +81,20 @@ def _key():
     return F.md5(text_or_empty().cast("binary"))
 
 
-def _nodes(docs: DataFrame) -> DataFrame:
-    """One row a text: ``key, first_id, n, most`` (rows, and most rows of one doc_id), ``sig, bands, id``."""
+def _nodes(docs: DataFrame, n: int) -> DataFrame:
+    """One row a text: ``key, first_id, n`` (rows), ``sig, bands, id``; ``n`` is also the number of rows of ``docs``."""
     signed = docs.select("doc_id", _key().alias("key"), F.pandas_udf(_sign, "sig binary, bands array<long>")(text_or_empty()).alias("s"))
     nodes = signed.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.first("s").alias("s"))
     nodes = nodes.select("key", "first_id", "n", "s.sig", "s.bands", F.monotonically_increasing_id().alias("id"))
-    return checkpoint(nodes)
+    return checkpoint(compact(nodes, n))
 
 
-def _shingle_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _shingle_counts(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """``id, counts`` of the nodes in ``wanted`` (key, first_id, id)."""
     texts = docs.select(F.col("doc_id").alias("first_id"), _key().alias("key"), text_or_empty().alias("text"))
     wanted = wanted.select("key", F.col("first_id").alias("f"), "id")
     found = texts.join(wanted, "key").where(F.col("first_id").eqNullSafe(F.col("f"))).select("id", F.pandas_udf(_counts, "binary")("text").alias("counts"))
-    return checkpoint(found.dropDuplicates(["id"]))
+    return checkpoint(compact(found.dropDuplicates(["id"]), n))
 
 
 def _verified(pairs: DataFrame, counts: DataFrame, similarity: float) -> DataFrame:
@@ -103,12 +104,32 @@ def _verified(pairs: DataFrame, counts: DataFrame, similarity: float) -> DataFra
     return found.where(F.pandas_udf(_similarity, "double")("ca", "cb") >= similarity).select("a", "b")
 
 
+def _opposite(group: pd.DataFrame):
+    """For each member of a pair of blocks, the later ones of another component that may be near to it by signature."""
+    sig = np.stack([np.frombuffer(x, np.uint8) for x in group["sig"]])
+    comp, side = group["component"].to_numpy(), group["block"].to_numpy()
+    one_block = group["i"].iloc[0] == group["j"].iloc[0]
+    place = np.arange(len(group))
+    for x in range(len(group) - 1):
+        others = np.flatnonzero((place > x) & (comp != comp[x]) & (one_block | (side != side[x])))
+        if len(others):
+            others = others[(sig[others] == sig[x]).mean(axis=1) >= MAYBE]
+            if len(others):
+                yield x, others
+
+
+def _maybe(group: pd.DataFrame) -> pd.DataFrame:
+    """The members of a pair of blocks that have a possible link to another component."""
+    named = np.zeros(len(group), bool)
+    for x, others in _opposite(group):
+        named[x] = named[others] = True
+    return group.loc[named, ["bucket", "i", "j", "id"]]
+
+
 def _within(similarity: float):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("id").sort_values("id").reset_index(drop=True)
-        sig = np.stack([np.frombuffer(s, np.uint32) for s in group["sig"]])
-        comp, side, ids = group["component"].to_numpy(), group["block"].to_numpy(), group["id"].to_numpy()
-        i, j = group["i"].iloc[0], group["j"].iloc[0]
+        group = group.sort_values("id").reset_index(drop=True)
+        comp, ids = group["component"].to_numpy(), group["id"].to_numpy()
         root = {c: c for c in set(comp)}
 
         def find(x):
@@ -120,13 +141,9 @@ def _within(similarity: float):
         sets: dict[int, tuple] = {}
         read = lambda x: sets.get(x) or sets.setdefault(x, _read(group["counts"].iloc[x]))
         links = []
-        for x in range(len(ids)):
-            others = np.flatnonzero((np.arange(len(ids)) > x) & (comp != comp[x]) & ((i == j) | (side != side[x])))
-            if not len(others):
-                continue
-            agree = (sig[others] == sig[x]).mean(axis=1)
-            for y in others[agree >= MAYBE]:
-                if find(comp[x]) != find(comp[y]) and weighted_jaccard(read(x), read(int(y))) >= similarity:
+        for x, others in _opposite(group):
+            for y in others.tolist():
+                if find(comp[x]) != find(comp[y]) and weighted_jaccard(read(x), read(y)) >= similarity:
                     root[find(comp[x])] = find(comp[y])
                     links.append((ids[x], ids[y]))
         return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
@@ -136,32 +153,41 @@ def _within(similarity: float):
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row a distinct text: ``key, class`` (an internal number), ``first_id, n``."""
-    nodes = _nodes(docs)
+    n = docs.count()
+    nodes = _nodes(docs, n)
     rows = nodes.where(F.col("bands").isNotNull()).select("id", F.explode("bands").alias("bucket"))
-    buckets = checkpoint(rows.groupBy("bucket").agg(F.min("id").alias("least"), F.count("*").alias("m")).where(F.col("m") > 1).select("bucket", "least"))
-    members = checkpoint(rows.join(buckets, "bucket"))
-    pairs = checkpoint(members.where(F.col("id") != F.col("least")).select(F.col("id").alias("a"), F.col("least").alias("b")).distinct())
+    buckets = rows.groupBy("bucket").agg(F.min("id").alias("least"), F.count("*").alias("m")).where(F.col("m") > 1).select("bucket", "least")
+    buckets = checkpoint(compact(buckets, n))
+    members = checkpoint(compact(rows.join(buckets, "bucket"), n))
+    pairs = members.where(F.col("id") != F.col("least")).select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
+    pairs = checkpoint(compact(pairs, n))
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    counts = _shingle_counts(docs, nodes.select("key", "first_id", "id").join(wanted, "id"))
+    counts = _shingle_counts(docs, nodes.select("key", "first_id", "id").join(wanted, "id"), n)
     links = checkpoint(_verified(pairs, counts, similarity))
     joined = components(links)
 
     component = F.coalesce("component", "id").alias("component")
     placed = members.select("bucket", "id").join(joined.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", component)
-    placed = checkpoint(placed)
+    placed = checkpoint(compact(placed, n))
     open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") < F.col("hi")).select("bucket")
-    open_ = checkpoint(open_)
-    inside = placed.join(open_, "bucket").join(counts, "id").join(nodes.select("id", "sig"), "id")
-    weights = checkpoint(inside.groupBy("bucket").agg(F.ceil(F.sum(F.octet_length("counts") + F.octet_length("sig")) / F.lit(BLOCK_BYTES)).alias("blocks")))
+    open_ = checkpoint(compact(open_, n))
+    # Blocks are laid out on narrow rows; signatures, then counts of the members that need them, join last.
+    inside = placed.join(open_, "bucket")
+    sizes = counts.select("id", F.octet_length("counts").alias("w"))
+    weights = checkpoint(compact(inside.join(sizes, "id").groupBy("bucket").agg(F.ceil(F.sum(F.col("w") + K) / F.lit(BLOCK_BYTES)).alias("blocks")), n))
     inside = inside.join(weights, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    inside = inside.select("bucket", "id", "component", "counts", "sig", "block", other)
-    inside = inside.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
-    more = inside.groupBy("bucket", "i", "j").applyInPandas(_within(similarity), "a long, b long")
+    inside = inside.select("bucket", "id", "component", "block", other)
+    inside = checkpoint(compact(inside.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "block"), n))
+    signed = inside.join(nodes.select("id", "sig"), "id")
+    maybe = signed.groupBy("bucket", "i", "j").applyInPandas(_maybe, "bucket long, i long, j long, id long")
+    maybe = checkpoint(compact(inside.join(maybe, ["bucket", "i", "j", "id"]), n))
+    full = maybe.join(nodes.select("id", "sig"), "id").join(counts, "id")
+    more = full.groupBy("bucket", "i", "j").applyInPandas(_within(similarity), "a long, b long")
     joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
     final = nodes.select("key", "first_id", "n", "id").join(joined.withColumnRenamed("node", "id"), "id", "left")
-    return checkpoint(final.select("key", "first_id", "n", F.coalesce("component", "id").alias("class")))
+    return checkpoint(compact(final.select("key", "first_id", "n", F.coalesce("component", "id").alias("class")), n))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
