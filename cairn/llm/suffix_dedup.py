@@ -171,6 +171,27 @@ def _bytes(*arrays: np.ndarray) -> list[bytes]:
     return [a.tobytes() for a in arrays]
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Places byte by byte, lowest first, so that the high bytes, mostly zero, compress to nothing."""
+    return np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
+def _per_unit(unit: np.ndarray, ident: np.ndarray, row: np.ndarray) -> list[bytes]:
+    """Of entries sorted by row: their units, those units' ids, and how many entries each has."""
+    mine, n = np.unique(row, return_counts=True)
+    return _bytes(unit[mine], ident[mine], n.astype(np.uint32))
+
+
+def _entries(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit, id and place of each entry of a row."""
+    n = np.frombuffer(r["n"], np.uint32)
+    return np.repeat(np.frombuffer(r["units"], np.int64), n), np.repeat(np.frombuffer(r["ids"], np.int64), n), _from_planes(r["place"])
+
+
 def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of sorted keys: the start of each group, and the group of each key."""
     new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
@@ -178,13 +199,13 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Anchors of a batch in one bucket.  known: met in two documents already; hash: 5 bytes each, if not known.
-ANCHORS = pa.schema([("bucket", pa.int64()), ("known", pa.bool_()), ("units", pa.binary()), ("ids", pa.binary()), ("row", pa.binary()), ("place", pa.binary()), ("hash", pa.binary())])
-ANCHORS_DDL = "bucket long, known boolean, units binary, ids binary, row binary, place binary, hash binary"
+ANCHORS = pa.schema([("bucket", pa.int64()), ("known", pa.bool_()), ("units", pa.binary()), ("ids", pa.binary()), ("n", pa.binary()), ("place", pa.binary()), ("hash", pa.binary())])
+ANCHORS_DDL = "bucket long, known boolean, units binary, ids binary, n binary, place binary, hash binary"
 #: Places of repeated anchors in a unit.
 PLACES = pa.schema([("unit", pa.int64()), ("places", pa.binary())])
 #: Contexts of a batch in one bucket, or (known) runs to be removed.
-CONTEXTS = pa.schema([("bucket", pa.int64()), ("known", pa.bool_()), ("unit", pa.binary()), ("id", pa.binary()), ("place", pa.binary()), ("context", pa.binary())])
-CONTEXTS_DDL = "bucket long, known boolean, unit binary, id binary, place binary, context binary"
+CONTEXTS = pa.schema([("bucket", pa.int64()), ("known", pa.bool_()), ("units", pa.binary()), ("ids", pa.binary()), ("n", pa.binary()), ("place", pa.binary()), ("context", pa.binary())])
+CONTEXTS_DDL = "bucket long, known boolean, units binary, ids binary, n binary, place binary, context binary"
 #: Runs of removed bytes in a unit: starts and ends, alternating.
 RUNS = pa.schema([("unit", pa.int64()), ("runs", pa.binary())])
 
@@ -212,9 +233,8 @@ def _find_anchors(buckets: int):
                 rows = []
                 for s, e in _cuts(known[order], bucket[order]):
                     o = order[s:e]
-                    mine, local = np.unique(row[o], return_inverse=True)
                     five = b"" if known[o[0]] else tail[o].view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-                    rows.append((int(bucket[o[0]]), bool(known[o[0]]), *_bytes(unit[mine], ident[mine], local.astype(np.uint32), (place[o] - t.starts[row[o]]).astype(np.uint32)), five))
+                    rows.append((int(bucket[o[0]]), bool(known[o[0]]), *_per_unit(unit, ident, row[o]), _planes(place[o] - t.starts[row[o]]), five))
                 yield _batch(ANCHORS, rows)
 
     return run
@@ -247,14 +267,14 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, rows in _by_bucket(batches):
         units, ids, places, hashes, known = [], [], [], [], []
         for r in rows:
-            local = np.frombuffer(r["row"], np.uint32)
-            units.append(np.frombuffer(r["units"], np.int64)[local])
-            places.append(np.frombuffer(r["place"], np.uint32))
+            unit, ident, place = _entries(r)
             if r["known"]:
-                known.append((units.pop(), places.pop()))
+                known.append((unit, place))
                 continue
-            ids.append(np.frombuffer(r["ids"], np.int64)[local])
-            wide = np.zeros((len(local), 8), np.uint8)
+            units.append(unit)
+            ids.append(ident)
+            places.append(place)
+            wide = np.zeros((len(unit), 8), np.uint8)
             wide[:, :5] = np.frombuffer(r["hash"], np.uint8).reshape(-1, 5)
             hashes.append(wide.view(np.uint64).ravel())
         unit, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (units, places))
@@ -327,20 +347,18 @@ def _find_contexts(buckets: int):
                 group = np.cumsum(new) - 1
                 least = ident[row[order[np.flatnonzero(new)]]]
                 settled = ident[row[order]] > least[group]
-                out = []
-                o = order[settled]
-                if len(o):
-                    starts, ends = np.maximum(place[o] - _BACK, 0), np.minimum(place[o] + LENGTH, lengths[row[o]])
-                    target = unit[row[o]] % buckets
-                    for b in np.unique(target):
-                        i = target == b
-                        out.append((int(b), True, *_bytes(unit[row[o[i]]], starts[i], ends[i]), b""))
-                o = order[~settled]
-                target = (_row_hashes(context[o, _BACK : _BACK + GRAM]) % _U(buckets)).astype(np.int64)
-                o, target = (x[np.argsort(target, kind="stable")] for x in (o, target))
-                for s, e in _cuts(target) if len(o) else []:
-                    i = o[s:e]
-                    out.append((int(target[s]), False, *_bytes(unit[row[i]], ident[row[i]], place[i], context[i])))
+                out: list[tuple] = []
+                target = np.where(settled, unit[row[order]] % buckets, (_row_hashes(context[order, _BACK : _BACK + GRAM]) % _U(buckets)).astype(np.int64))
+                by = np.lexsort((row[order], target, settled))
+                order, target, settled = order[by], target[by], settled[by]
+                for s, e in _cuts(settled, target):
+                    i = order[s:e]
+                    if settled[s]:
+                        # Only the runs are needed: their ends stand in the place of contexts.
+                        starts, ends = np.maximum(place[i] - _BACK, 0), np.minimum(place[i] + LENGTH, lengths[row[i]])
+                        out.append((int(target[s]), True, *_per_unit(unit, ident, row[i]), _planes(starts), _planes(ends)))
+                    else:
+                        out.append((int(target[s]), False, *_per_unit(unit, ident, row[i]), _planes(place[i]), context[i].tobytes()))
                 yield _batch(CONTEXTS, out)
 
     return run
@@ -374,11 +392,11 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, rows in _by_bucket(batches):
         runs, parts = [], []
         for r in rows:
-            columns = [np.frombuffer(r[k], np.int64) for k in ("unit", "id", "place")]
+            unit, ident, place = _entries(r)
             if r["known"]:
-                runs.append(tuple(columns))
+                runs.append((unit, place.astype(np.int64), _from_planes(r["context"]).astype(np.int64)))
             else:
-                parts.append((*columns, np.frombuffer(r["context"], np.uint8).reshape(-1, _WIDE)))
+                parts.append((unit, ident, place.astype(np.int64), np.frombuffer(r["context"], np.uint8).reshape(-1, _WIDE)))
         if parts:
             unit, ident, place, context = (np.concatenate(x) for x in zip(*parts, strict=True))
             runs += _settled(unit, ident, place, context)
@@ -469,13 +487,15 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     buckets = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
 
     id_ = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
+    # Not an equality of columns, which would join the keys: all three joins then read one exchange of the texts.
+    is_first = id_.bitwiseXOR(F.col("id")) == 0
     joined = docs.join(units.select("k", "id", "unit"), F.col("key") == F.col("k"))
-    first = joined.where(id_ == F.col("id")).select("unit", "id", "text")
+    first = joined.where(is_first).select("unit", "id", "text")
     dealt = first.mapInArrow(_find_anchors(buckets), ANCHORS_DDL).repartition(buckets, "bucket").sortWithinPartitions("bucket")
     places = dealt.mapInArrow(_repeated, "unit long, places binary").groupBy("unit").agg(F.collect_list("places").alias("places"))
 
     there = units.select("k", "id", "unit").join(places, "unit")
-    again = docs.join(there, F.col("key") == F.col("k")).where(id_ == F.col("id")).select("unit", "id", "text", "places")
+    again = docs.join(there, F.col("key") == F.col("k")).where(is_first).select("unit", "id", "text", "places")
     dealt = again.mapInArrow(_find_contexts(buckets), CONTEXTS_DDL).repartition(buckets, "bucket").sortWithinPartitions("bucket")
     runs = dealt.mapInArrow(_settle, "unit long, runs binary").groupBy("unit").agg(F.collect_list("runs").alias("runs"))
 
