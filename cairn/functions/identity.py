@@ -19,11 +19,12 @@ KEEP_NULLS = {"ignoreNullFields": "false"}
 
 def canonical_json(value: Column, keep_nulls: bool = True) -> Column:
     """Canonical JSON of a struct column whose fields are declared in key order."""
-    text = F.to_json(value, KEEP_NULLS if keep_nulls else {})
-    out = text
-    for code in (0x0B, *range(0x0E, 0x20)):
-        out = F.replace(out, F.lit(f"\\u{code:04X}"), F.lit(f"\\u{code:04x}"))
-    return F.when(text.contains("\\u00"), out).otherwise(text)
+    codes = F.array(*[F.lit(f"{code:04X}") for code in (0x0B, *range(0x0E, 0x20))])
+    # An escape follows an even number of backslashes.
+    lowered = lambda out, c: F.regexp_replace(out, F.concat(F.lit(r"(?<!\\)((?:\\\\)*)\\u"), c), F.concat(F.lit(r"$1\\u"), F.lower(c)))
+    # The text is named once: a repeated expression would grow threefold with every id built on another.
+    fixed = lambda t: F.when(t.contains("\\u00"), F.aggregate(codes, t, lowered)).otherwise(t)
+    return F.element_at(F.transform(F.array(F.to_json(value, KEEP_NULLS if keep_nulls else {})), fixed), 1)
 
 
 def base64url_sha256(text: Column) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from cairn import schema
 from cairn.functions import identity as I
 from cairn.functions import paths as P
+from cairn.operators.materialise import materialise
 
 _NONE = lambda kind="string": F.lit(None).cast(kind)
 
@@ -348,9 +349,11 @@ class GraphError(ValueError):
 def build_graph(files: DataFrame) -> Graph:
     """The graph of a file table whose paths are canonical; see ``violations`` for the checks."""
     a = assemble(files)
+    # Each table of the assembly is computed once; the resolver reads the work items several times.
+    a = Assembly(*[materialise(x) for x in (a.files, a.symbols, a.references, a.contributions, a.work)])
     ids = a.files.select("id", "path")
     modules = resolve_modules(a.work.where(F.col("workKind") != "java-import"), ids)
-    resolved = modules.unionByName(resolve_java(a.work, a.files, a.symbols))
+    resolved = materialise(modules.unionByName(resolve_java(a.work, a.files, a.symbols)))
     todo = a.work.select("sourceFileId", "referenceId", "workKind", "evidenceId").join(resolved, ["sourceFileId", "referenceId", "workKind"])
     todo = todo.withColumn("edgeId", reference_edge_id(F.col("relation"), F.col("sourceFileId"), F.col("referenceId")))
     facts = ["edgeId", "relation", "sourceId", "targetId", "referenceId", "status", "rule", "reason", "candidates", "omittedCandidateCount"]

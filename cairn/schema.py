@@ -16,7 +16,7 @@ FILES = (
 )
 #: What analysing a path can end in.
 OUTCOMES = ("indexed", "missing", "ignored", "non-regular", "non-text", "read-error")
-SYMBOL_KINDS = ("class", "interface", "enum", "record", "annotation", "type", "function", "method", "constructor", "field", "variable", "namespace", "constant")
+SYMBOL_KINDS = ("function", "class", "interface", "type", "enum", "variable", "namespace", "record", "annotation", "constructor", "method", "field", "enum-constant")
 
 RELATIONS = (
     "DECLARES", "ANALYZER_EXPORT_FLAG", "IMPORTS_FILE", "IMPORTS_EXTERNAL", "IMPORT_REFERENCE", "REEXPORTS_FILE", "REEXPORTS_EXTERNAL",
