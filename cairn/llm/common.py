@@ -49,13 +49,11 @@ def fold(column: str = "doc_id", parts: int = 4) -> Column:
 
 #: A-Z and their lower-case forms: the only letters that the contracts fold.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ASCII_FOLD = str.maketrans(UPPER, LOWER)
 
 
 def ascii_lower(text: str) -> str:
     """Lower-case A-Z only; every code point keeps its place."""
-    folded = text.lower() if text.isascii() else None
-    return folded if folded is not None else text.translate(ASCII_FOLD)
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def spans_digest(spans: list[tuple[int, int, str]], order: dict[str, int]) -> str:
