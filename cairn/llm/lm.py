@@ -37,7 +37,7 @@ from cairn.llm.gru import BLOCK, HIDDEN, WINDOW, Gru, Trainer, score_documents
 
 BLOCKS, MIDDLE = 32, 31
 KNOWN, LONGEST = 1 << 18, 64
-ROUNDS, EVERY, SEGMENT, LANES, RATE = 2, 8, 2 * WINDOW, 128, 0.02
+ROUNDS, EVERY, SEGMENT, LANES, RATE = 2, 8, 2 * WINDOW, 64, 0.03
 FLUSH = 400_000
 #: No word holds white space, so this one stands for a document's end.
 END = b"\n"
@@ -94,7 +94,7 @@ def _train(held, round_: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, packed = held.value
         trainer = Trainer(pickle.loads(packed), RATE)
-        rest, segments, seen, used = np.zeros(0, np.int32), [], 0, 0
+        part, segments, seen, used = [], [], 0, 0
 
         def learn():
             nonlocal used
@@ -107,14 +107,19 @@ def _train(held, round_: int):
 
         for batch in batches:
             for text in batch.column("text"):
-                rest = np.concatenate([rest, vocabulary.ids[vocabulary.places(tokens(text.as_py()))]])
-                whole = len(rest) // SEGMENT
-                for k in range((round_ - seen) % EVERY, whole, EVERY):
-                    segments.append(rest[k * SEGMENT : (k + 1) * SEGMENT])
-                    if len(segments) == LANES:
-                        learn()
-                seen += whole
-                rest = rest[whole * SEGMENT :]
+                words, at = tokens(text.as_py()), 0
+                while at < len(words):
+                    segment, inside = divmod(seen, SEGMENT)
+                    end = min(at + SEGMENT - inside, len(words))
+                    if segment % EVERY == round_:
+                        part.append(vocabulary.places(words[at:end]))
+                        if inside + end - at == SEGMENT:
+                            segments.append(vocabulary.ids[np.concatenate(part)])
+                            part = []
+                            if len(segments) == LANES:
+                                learn()
+                    seen += end - at
+                    at = end
         if segments:
             learn()
         if used:
