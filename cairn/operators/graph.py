@@ -208,19 +208,16 @@ def decide(candidates: DataFrame, keys: list[str], keep: int = schema.CANDIDATES
     ``status`` is exact (precedence 0), heuristic or unresolved; an unresolved row's ``tie`` is its precedence.
     """
     distinct = candidates.select(*keys, "precedence", "rule", "id").distinct()
-    least = distinct.groupBy(*keys).agg(F.min("precedence").alias("_least"), F.count("*").alias("_n"))
-    near = least.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_least", "_n")
-    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    marked = distinct.join(near, on).drop(*[f"_k_{k}" for k in keys])
-    won = marked.where(F.col("precedence") == F.col("_least")).groupBy(*keys).agg(F.min("id").alias("_lo"), F.max("id").alias("_hi"), F.min("rule").alias("_rule"))
+    # Precedences are reduced first, then keys: a key of any number of candidates is combined before each shuffle.
+    ranks = distinct.groupBy(*keys, "precedence").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("rule").alias("rule"), F.count("*").alias("n"))
+    best = ranks.groupBy(*keys).agg(F.min(F.struct("precedence", "lo", "hi", "rule")).alias("_b"), F.sum("n").alias("_n"))
     place = Window.partitionBy(*keys).orderBy("precedence", "rule", "id")
     first = distinct.withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= keep)
     first = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("precedence", "rule", "id"))).alias("candidates"))
-    one = F.col("_lo") == F.col("_hi")
-    out = least.join(won, keys).join(first, keys)
-    return out.select(
-        *keys, F.when(~one, "unresolved").when(F.col("_least") == 0, "exact").otherwise("heuristic").alias("status"), F.when(one, F.col("_rule")).alias("rule"),
-        F.when(one, F.col("_lo")).alias("targetId"), F.when(~one, F.col("_least")).alias("tie"), "candidates", (F.col("_n") - F.size("candidates")).alias("omittedCandidateCount"),
+    one = F.col("_b.lo") == F.col("_b.hi")
+    return best.join(first, keys).select(
+        *keys, F.when(~one, "unresolved").when(F.col("_b.precedence") == 0, "exact").otherwise("heuristic").alias("status"), F.when(one, F.col("_b.rule")).alias("rule"),
+        F.when(one, F.col("_b.lo")).alias("targetId"), F.when(~one, F.col("_b.precedence")).alias("tie"), "candidates", (F.col("_n") - F.size("candidates")).alias("omittedCandidateCount"),
     )
 
 
