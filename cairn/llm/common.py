@@ -8,8 +8,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of one Arrow batch, beside Spark's limit of rows: memory then doesn't follow the longest texts.
+BATCH_BYTES = 64 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Read one Parquet table through Spark (any path Spark can read), keeping only ``columns``."""
+    bound_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
@@ -21,6 +30,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     here: a temporary one in local mode, else one below the (shared) warehouse.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         conf = sc.getConf()
@@ -32,6 +42,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver find what nothing refers to any more, so that shuffle files of lineage that was cut go now
+    rather than when its heap happens to fill."""
+    spark._jvm.System.gc()
+
+
 def compact(df: DataFrame, rows: int, rows_a_part: int = 50_000) -> DataFrame:
     """Narrow rows in as many partitions as ``rows`` of them are worth, so that later shuffles write few files."""
     return df.coalesce(max(8, -(-rows // rows_a_part)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import checkpoint, compact
+from cairn.llm.common import checkpoint, compact, release
 
 
 def _large_star(edges: DataFrame, n: int) -> DataFrame:
@@ -33,6 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         now = checkpoint(compact(_large_star(now, n), n))
         now = checkpoint(compact(_small_star(now, n), n))
+        release(edges.sparkSession)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
         if state == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -9,9 +9,8 @@ counts) is ``SIMILARITY`` or more are linked, equal texts always are, and a clas
    gives m - 1 candidates.  Candidates are verified on the exact shingle counts, and verified ones joined.
 3. Buckets that still hold more than one component may hide links between members other than the least.  They
    are cut into blocks of bounded bytes; each pair of blocks is one group, in which members of different
-   components are compared by signature (agreement below ``MAYBE`` has probability under 1e-6 at 0.8).  Members
-   with a possible link meet again with their shingle counts, are verified exactly, and only a spanning forest of
-   the found links is returned.
+   components are compared by signature, verified exactly where the signatures don't rule it out (agreement below
+   ``MAYBE`` has probability under 1e-6 at 0.8), and only a spanning forest of the found links is returned.
 
 Scale.  Shuffled rows are one node, its bands, and the shingle counts of nodes that share a bucket; text is
 shuffled once, to bring the counts of those nodes together.  A bucket, copy group or component of any size meets
@@ -25,12 +24,14 @@ repeated rows share a class; an empty table gives an empty result.  Extra column
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import checkpoint, compact, table, text_or_empty
+from cairn.llm.common import bound_batches, checkpoint, compact, release, table, text_or_empty
 from cairn.llm.components import components
 from cairn.llm.darts import signatures, weighted_jaccard
 from cairn.llm.shingles import mix, shingles
@@ -104,55 +105,68 @@ def _verified(pairs: DataFrame, counts: DataFrame, similarity: float) -> DataFra
     return found.where(F.pandas_udf(_similarity, "double")("ca", "cb") >= similarity).select("a", "b")
 
 
-def _opposite(group: pd.DataFrame):
-    """For each member of a pair of blocks, the later ones of another component that may be near to it by signature."""
-    sig = np.stack([np.frombuffer(x, np.uint8) for x in group["sig"]])
-    comp, side = group["component"].to_numpy(), group["block"].to_numpy()
-    one_block = group["i"].iloc[0] == group["j"].iloc[0]
-    place = np.arange(len(group))
-    for x in range(len(group) - 1):
-        others = np.flatnonzero((place > x) & (comp != comp[x]) & (one_block | (side != side[x])))
+def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of batches sorted by bucket, i and j, a group at a time."""
+    rest = None
+    for batch in batches:
+        batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        key = batch[["bucket", "i", "j"]].to_numpy()
+        cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        for s, e in zip([0, *cut[:-1]], cut, strict=False):
+            yield batch.iloc[s:e]
+        rest = batch.iloc[cut[-1] if len(cut) else 0 :]
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _links(group: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links between members of different components, of one block or two."""
+    order = np.argsort(group["id"].to_numpy(), kind="stable")
+    ids, comp, side = (group[c].to_numpy()[order] for c in ("id", "component", "block"))
+    if (comp == comp[0]).all():
+        return []
+    sig = np.frombuffer(b"".join(group["sig"].to_numpy()[order]), np.uint8).reshape(len(ids), K)
+    counts, one_block = group["counts"].to_numpy()[order], group["i"].iloc[0] == group["j"].iloc[0]
+    root = {c: c for c in comp.tolist()}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    sets: dict[int, tuple] = {}
+    read = lambda x: sets.get(x) or sets.setdefault(x, _read(counts[x]))
+    out = []
+    for x in range(len(ids) - 1):
+        others = x + 1 + np.flatnonzero((comp[x + 1 :] != comp[x]) & (one_block | (side[x + 1 :] != side[x])))
         if len(others):
-            others = others[(sig[others] == sig[x]).mean(axis=1) >= MAYBE]
-            if len(others):
-                yield x, others
-
-
-def _maybe(group: pd.DataFrame) -> pd.DataFrame:
-    """The members of a pair of blocks that have a possible link to another component."""
-    named = np.zeros(len(group), bool)
-    for x, others in _opposite(group):
-        named[x] = named[others] = True
-    return group.loc[named, ["bucket", "i", "j", "id"]]
+            others = others[np.count_nonzero(sig[others] == sig[x], axis=1) >= MAYBE * K]
+        for y in others.tolist():
+            a, b = find(int(comp[x])), find(int(comp[y]))
+            if a != b and weighted_jaccard(read(x), read(y)) >= similarity:
+                root[a] = b
+                out.append((int(ids[x]), int(ids[y])))
+    return out
 
 
 def _within(similarity: float):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id").reset_index(drop=True)
-        comp, ids = group["component"].to_numpy(), group["id"].to_numpy()
-        root = {c: c for c in set(comp)}
-
-        def find(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        sets: dict[int, tuple] = {}
-        read = lambda x: sets.get(x) or sets.setdefault(x, _read(group["counts"].iloc[x]))
-        links = []
-        for x, others in _opposite(group):
-            for y in others.tolist():
-                if find(comp[x]) != find(comp[y]) and weighted_jaccard(read(x), read(y)) >= similarity:
-                    root[find(comp[x])] = find(comp[y])
-                    links.append((ids[x], ids[y]))
-        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: list[tuple[int, int]] = []
+        for group in _groups(batches):
+            found += _links(group, similarity)
+            if len(found) > 10_000:
+                yield pd.DataFrame(found, columns=["a", "b"])
+                found = []
+        yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
     return run
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row a distinct text: ``key, class`` (an internal number), ``first_id, n``."""
+    spark = docs.sparkSession
+    bound_batches(spark)
     n = docs.count()
     nodes = _nodes(docs, n)
     rows = nodes.where(F.col("bands").isNotNull()).select("id", F.explode("bands").alias("bucket"))
@@ -164,6 +178,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     counts = _shingle_counts(docs, nodes.select("key", "first_id", "id").join(wanted, "id"), n)
     links = checkpoint(_verified(pairs, counts, similarity))
+    release(spark)
     joined = components(links)
 
     component = F.coalesce("component", "id").alias("component")
@@ -171,7 +186,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     placed = checkpoint(compact(placed, n))
     open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") < F.col("hi")).select("bucket")
     open_ = checkpoint(compact(open_, n))
-    # Blocks are laid out on narrow rows; signatures, then counts of the members that need them, join last.
+    # Blocks are laid out on narrow rows; signatures and counts join last.
     inside = placed.join(open_, "bucket")
     sizes = counts.select("id", F.octet_length("counts").alias("w"))
     weights = checkpoint(compact(inside.join(sizes, "id").groupBy("bucket").agg(F.ceil(F.sum(F.col("w") + K) / F.lit(BLOCK_BYTES)).alias("blocks")), n))
@@ -179,11 +194,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     inside = inside.select("bucket", "id", "component", "block", other)
     inside = checkpoint(compact(inside.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "block"), n))
-    signed = inside.join(nodes.select("id", "sig"), "id")
-    maybe = signed.groupBy("bucket", "i", "j").applyInPandas(_maybe, "bucket long, i long, j long, id long")
-    maybe = checkpoint(compact(inside.join(maybe, ["bucket", "i", "j", "id"]), n))
-    full = maybe.join(nodes.select("id", "sig"), "id").join(counts, "id")
-    more = full.groupBy("bucket", "i", "j").applyInPandas(_within(similarity), "a long, b long")
+    full = inside.join(nodes.select("id", "sig").join(counts, "id"), "id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    more = full.mapInPandas(_within(similarity), "a long, b long")
     joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
     final = nodes.select("key", "first_id", "n", "id").join(joined.withColumnRenamed("node", "id"), "id", "left")

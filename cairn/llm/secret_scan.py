@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import ascii_lower, spans_digest, table, text_or_empty
+from cairn.llm.common import ascii_lower, bound_batches, spans_digest, table, text_or_empty
 
 # Keywords and patterns of the contract, then public token formats.
 ASSIGN_KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -147,6 +147,7 @@ def redactor(mask: str):
 
 def redact_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with each secret in ``text`` replaced by ``mask``; ``n_chars``, where there is one, follows."""
+    bound_batches(docs.sparkSession)
     out = docs.withColumn("text", redactor(mask)(F.col("text").cast("string")))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
