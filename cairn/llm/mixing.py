@@ -11,8 +11,8 @@ levels, and each row then needs only its own bucket.  One source may hold any sh
 
 Defined results: null text has size 0; null source is a source of its own, last in order; a null doc_id is
 ordered by its size alone; rows that agree in doc_id and size are interchangeable; an empty table gives an
-empty result; documents without words are never taken.  Extra columns pass through unchanged; work columns
-start with ``_mix_``.
+empty result; documents without words are never taken.  Extra columns pass through unchanged, but for those that
+bear the name of a column that the mix adds, which replace them; work columns start with ``_mix_``.
 """
 
 from __future__ import annotations
@@ -77,6 +77,7 @@ def mix_sources(docs: DataFrame, sizes: DataFrame) -> DataFrame:
     repeats: a document is read once for every pass r < 3 over its source in which the middle of its words lies
     below the target; ``position`` is the time of its first reading (null if it is never read).
     """
+    docs = docs.drop("source_size", "target", "taken", "position")
     n = sizes.count()
     fine = max(1, -(-n // ROWS_A_BUCKET))
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("size").cast("string")).cast("binary"))
@@ -110,7 +111,7 @@ def mix_sources(docs: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def training_order(mixed: DataFrame) -> DataFrame:
     """One row for each reading of a document, range-sorted by ``position`` (``reading`` counts from 1)."""
-    out = mixed.where(F.col("taken") > 0).withColumn("reading", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))))
+    out = mixed.drop("reading").where(F.col("taken") > 0).withColumn("reading", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))))
     share = (F.col("_mix_middle") + F.col("source_size").cast("double") * (F.col("reading") - 1)) / F.col("target")
     out = out.withColumn("position", schedule_inverse(share, F.col("_mix_slope")))
     out = out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")

@@ -35,7 +35,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each reading of a document that the mix takes, with size, targets and position."""
-    sized = docs.withColumn("size", mixing.n_words())
+    sized = docs.drop("reading").withColumn("size", mixing.n_words())
     sizes = checkpoint(sized.select("doc_id", "source", "size"))
     return mixing.training_order(mixing.mix_sources(sized, sizes))
 
