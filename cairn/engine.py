@@ -15,6 +15,7 @@ from cairn.operators.materialise import materialise
 from cairn.sources import files as trees
 from cairn.sources.generations import Store
 
+# States, and bounds of what is shown and asked.
 LIFECYCLE = ("dormant", "disabled", "warming", "ready", "failed")
 SHOWN_PATHS, STALE_ROWS, STALE_TERMS = 64, 3, 40
 MAX_QUERY, MAX_LIMIT = 512, 20

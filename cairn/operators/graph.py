@@ -25,9 +25,13 @@ _NONE = lambda kind="string": F.lit(None).cast(kind)
 # Suffixes probed for a module path, and those that stand in for each other.
 SUFFIXES = (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs")
 SUBSTITUTES = {".js": (".ts", ".tsx", ".d.ts"), ".jsx": (".tsx", ".d.ts"), ".mjs": (".mts", ".d.mts"), ".cjs": (".cts", ".d.cts")}
+#: Kinds of Java symbols that an import can name.
 JAVA_TYPES = ("class", "interface", "enum", "record", "annotation")
 
 
+# Prefixes and domains of ids are fixed values.
+
+
 def file_id(path) -> Column:
     return I.domain_id("file:sha256:", "repository-graph/file", F.struct(path.alias("canonicalPath")))
 

@@ -37,6 +37,7 @@ def with_evidence(results: DataFrame, pending: DataFrame, indexed: DataFrame) ->
     return row.select(*results.columns, F.col("_e.excerpt").alias("excerpt"), F.col("_e.evidence").alias("evidence"))
 
 
+# Bytes of a payload.
 LEAST_PAYLOAD, DEFAULT_PAYLOAD = 512, 6144
 
 

@@ -11,6 +11,7 @@ from cairn.functions.identity import workspace_revision
 from cairn.functions.paths import canonical_path
 from cairn.operators.ordered import running
 
+# Default bounds, and the mark of a removed path.
 RETENTION, QUOTA_BYTES = 3, 128 * 1024 * 1024
 MAX_ERRORS, MAX_WARNINGS = 32, 128
 DELETED = "deleted"
