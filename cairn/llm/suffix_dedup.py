@@ -17,10 +17,14 @@ that keeps equal ``LENGTH``-byte prefixes together, and only those that can repe
    the smallest document of its windows, and every larger document loses them.
 4. The removed runs of a unit are gathered, merged and applied.
 
-An anchor whose distinct contexts exceed one text is compared column by column instead (the windows at one
-distance from the anchor, sorted by hash and verified byte by byte), which needs memory for the contexts only.
-
-Scale.  Text is exchanged once, by text key, and that exchange is read by all three steps; anchors cost about ten
+Frequent anchors, such as those at the ends of a passage that many documents share, have about as many distinct
+contexts as documents, which must not meet in one task.  A sample of the texts names them (it steers the dealing,
+not the result); each window around them is dealt by its own 128-bit hash, and equal windows of a batch are sent
+once, so a passage of any number of documents costs one row a batch.  An anchor that the sample missed and whose
+distinct contexts exceed one text is compared column by column (the windows at one distance from it, sorted by hash
+and verified byte by byte), which needs memory for its contexts only.
+
+Scale.  The list of frequent anchors has at most ``HOT_MOST`` of them.  Text is exchanged once, by text key, and that exchange is read by all three steps; anchors cost about ten
 bytes for every sixteen of text, contexts exist for repeated anchors only.  The number of buckets follows the
 bytes of the table (``BUCKET_BYTES`` of text each), so a bucket holds a bounded number of anchors; frequent
 anchors and contexts are combined before they are sent.
@@ -46,8 +50,13 @@ from cairn.llm.shingles import mix
 
 LENGTH = 50
 GRAM = 20
+#: Texts whose key starts below this are sampled for frequent anchors: those of at least so many sampled texts, and
+#: of at least this share of them.
+HOT_SAMPLE, HOT_LEAST, HOT_SHARE, HOT_MOST = "04", 16, 0.001, 1 << 16
 #: Bytes of text whose anchors share a bucket on average, and the least number of buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 32 << 20, 24
+#: Contexts are dealt to so many times more buckets.
+FINER = 3
 #: Bytes of text worked on at once, and bytes of contexts sorted at once.
 BATCH_BYTES, SORT_BYTES = 4 << 20, 1 << 20
 #: Places in a piece of text whose windows are compared at once take this many bits of a 64-bit key.
@@ -89,6 +98,21 @@ def _power(n: int) -> np.uint64:
     return _U(pow(0x5851F42D4C957F2D, n, 1 << 64))
 
 
+_INVERSE = np.array([pow(0x5851F42D4C957F2D, -j, 1 << 64) for j in range(_BACK + 1)], np.uint64)
+_SECOND = mix(_VALUE + _U(0xD1B54A32D192ED03))
+
+
+def _window_hashes(context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the LENGTH bytes from each of the first starts of each context."""
+    out = []
+    with np.errstate(over="ignore"):
+        for value in (_VALUE, _SECOND):
+            sums = np.zeros((len(context), _WIDE + 1), np.uint64)
+            np.cumsum(value[context] * _FACTOR[None, :], axis=1, out=sums[:, 1:])
+            out.append(mix((sums[:, LENGTH : LENGTH + _BACK + 1] - sums[:, : _BACK + 1]) * _INVERSE[None, :]))
+    return out[0], out[1]
+
+
 def _row_hashes(rows: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each row of a byte matrix."""
     out = np.zeros(len(rows), np.uint64)
@@ -203,9 +227,10 @@ ANCHORS = pa.schema([("bucket", pa.int64()), ("known", pa.bool_()), ("units", pa
 ANCHORS_DDL = "bucket long, known boolean, units binary, ids binary, n binary, place binary, hash binary"
 #: Places of repeated anchors in a unit.
 PLACES = pa.schema([("unit", pa.int64()), ("places", pa.binary())])
-#: Contexts of a batch in one bucket, or (known) runs to be removed.
-CONTEXTS = pa.schema([("bucket", pa.int64()), ("known", pa.bool_()), ("units", pa.binary()), ("ids", pa.binary()), ("n", pa.binary()), ("place", pa.binary()), ("context", pa.binary())])
-CONTEXTS_DDL = "bucket long, known boolean, units binary, ids binary, n binary, place binary, context binary"
+#: Of a batch in one bucket: contexts, runs to be removed, or windows by their hashes.
+AS_CONTEXTS, AS_RUNS, AS_WINDOWS = 0, 1, 2
+CONTEXTS = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("units", pa.binary()), ("ids", pa.binary()), ("n", pa.binary()), ("place", pa.binary()), ("context", pa.binary())])
+CONTEXTS_DDL = "bucket long, kind int, units binary, ids binary, n binary, place binary, context binary"
 #: Runs of removed bytes in a unit: starts and ends, alternating.
 RUNS = pa.schema([("unit", pa.int64()), ("runs", pa.binary())])
 
@@ -325,8 +350,66 @@ def _equal_rows(first: np.ndarray, rows: np.ndarray, extra: np.ndarray) -> tuple
     return order, new
 
 
-def _find_contexts(buckets: int):
+def _count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts of a batch each anchor is."""
+    for batch in batches:
+        for t in _Texts.of(batch):
+            place, h = anchors(t.data, t.starts, t.ends)
+            row = np.searchsorted(t.ends, place, side="right")
+            order = np.lexsort((row, h))
+            h, row = h[order], row[order]
+            first = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])]) if len(h) else np.zeros(0, bool)
+            h, n = np.unique(h[first], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["hash", "n"])
+
+
+def frequent_anchors(texts: DataFrame) -> np.ndarray:
+    """Hashes of the anchors that are frequent in a sample of ``texts`` (key, text), sorted."""
+    sample = texts.where(F.substring("key", 1, len(HOT_SAMPLE)) < HOT_SAMPLE)
+    counts = sample.select("text").mapInArrow(_count_anchors, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    least = max(HOT_LEAST, int(HOT_SHARE * sample.count()))
+    rows = counts.where(F.col("n") >= least).orderBy(F.col("n").desc(), "hash").limit(HOT_MOST).select("hash").collect()
+    return np.sort(np.array([r["hash"] for r in rows], np.int64).view(np.uint64))
+
+
+def _hot_windows(context, unit, ident, place, row, buckets: int) -> list[tuple]:
+    """Windows around frequent anchors: of equal ones those of the smallest document are sent on, by their hashes,
+    and those of others are settled."""
+    first, second = _window_hashes(context)
+    inside = context != _PAD
+    lo, hi = inside.argmax(axis=1), _WIDE - inside[:, ::-1].argmax(axis=1)
+    offset = np.arange(_BACK + 1)
+    r, o = np.nonzero((offset[None, :] >= lo[:, None]) & (offset[None, :] + LENGTH <= hi[:, None]))
+    if not len(r):
+        return []
+    h1, h2, start, row = first[r, o], second[r, o], place[r] - _BACK + o, row[r]
+    # A window around two frequent anchors is one window.
+    once = np.unique((row.astype(np.int64) << 32) | start, return_index=True)[1]
+    h1, h2, start, row = h1[once], h2[once], start[once], row[once]
+    who = ident[row]
+    order = np.lexsort((who, h2, h1))
+    h1, h2, who, start, row = (x[order] for x in (h1, h2, who, start, row))
+    new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+    least = who[np.flatnonzero(new)][np.cumsum(new) - 1]
+    settled = who > least
+    target = np.where(settled, unit[row] % buckets, (h1 % _U(buckets)).astype(np.int64))
+    by = np.lexsort((start, row, target, settled))
+    out = []
+    for s, e in _cuts(settled[by], target[by]):
+        i = by[s:e]
+        if settled[i[0]]:
+            # Neighbouring windows of one document as one run.
+            head = np.flatnonzero(np.concatenate([[True], (row[i][1:] != row[i][:-1]) | (start[i][1:] > start[i][:-1] + LENGTH)]))
+            tail = np.append(head[1:], len(i)) - 1
+            out.append((int(target[i[0]]), AS_RUNS, *_per_unit(unit, ident, row[i[head]]), _planes(start[i[head]]), _planes(start[i[tail]] + LENGTH)))
+        else:
+            out.append((int(target[i[0]]), AS_WINDOWS, *_per_unit(unit, ident, row[i]), _planes(start[i]), np.stack([h1[i], h2[i]], axis=1).tobytes()))
+    return out
+
+
+def _find_contexts(buckets: int, held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = held.value
         for batch in batches:
             lists = batch.column("places")
             for t in _Texts.of(batch):
@@ -343,11 +426,20 @@ def _find_contexts(buckets: int):
                 padded[np.arange(len(t.data)) + np.repeat(shift, lengths)] = t.data
                 at = place + t.starts[row] + shift[row] - _BACK
                 context = np.lib.stride_tricks.sliding_window_view(padded, _WIDE)[at]
-                order, new = _equal_rows(np.zeros(len(at), np.int64), context, ident[row])
+                out: list[tuple] = []
+                if len(hot):
+                    gram = _gram_hashes(np.ascontiguousarray(context[:, _BACK : _BACK + GRAM]).ravel())[::GRAM]
+                    frequent = hot[np.minimum(np.searchsorted(hot, gram), len(hot) - 1)] == gram
+                    if frequent.any():
+                        out += _hot_windows(context[frequent], unit, ident, place[frequent], row[frequent], buckets)
+                        context, place, row = context[~frequent], place[~frequent], row[~frequent]
+                if not len(place):
+                    yield _batch(CONTEXTS, out)
+                    continue
+                order, new = _equal_rows(np.zeros(len(place), np.int64), context, ident[row])
                 group = np.cumsum(new) - 1
                 least = ident[row[order[np.flatnonzero(new)]]]
                 settled = ident[row[order]] > least[group]
-                out: list[tuple] = []
                 target = np.where(settled, unit[row[order]] % buckets, (_row_hashes(context[order, _BACK : _BACK + GRAM]) % _U(buckets)).astype(np.int64))
                 by = np.lexsort((row[order], target, settled))
                 order, target, settled = order[by], target[by], settled[by]
@@ -356,9 +448,9 @@ def _find_contexts(buckets: int):
                     if settled[s]:
                         # Only the runs are needed: their ends stand in the place of contexts.
                         starts, ends = np.maximum(place[i] - _BACK, 0), np.minimum(place[i] + LENGTH, lengths[row[i]])
-                        out.append((int(target[s]), True, *_per_unit(unit, ident, row[i]), _planes(starts), _planes(ends)))
+                        out.append((int(target[s]), AS_RUNS, *_per_unit(unit, ident, row[i]), _planes(starts), _planes(ends)))
                     else:
-                        out.append((int(target[s]), False, *_per_unit(unit, ident, row[i]), _planes(place[i]), context[i].tobytes()))
+                        out.append((int(target[s]), AS_CONTEXTS, *_per_unit(unit, ident, row[i]), _planes(place[i]), context[i].tobytes()))
                 yield _batch(CONTEXTS, out)
 
     return run
@@ -390,16 +482,25 @@ def _least_by_column(context: np.ndarray, ident: np.ndarray) -> np.ndarray:
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, rows in _by_bucket(batches):
-        runs, parts = [], []
+        runs, parts, windows = [], [], []
         for r in rows:
             unit, ident, place = _entries(r)
-            if r["known"]:
+            if r["kind"] == AS_WINDOWS:
+                windows.append((unit, ident, place.astype(np.int64), np.frombuffer(r["context"], np.uint64).reshape(-1, 2)))
+            elif r["kind"] == AS_RUNS:
                 runs.append((unit, place.astype(np.int64), _from_planes(r["context"]).astype(np.int64)))
             else:
                 parts.append((unit, ident, place.astype(np.int64), np.frombuffer(r["context"], np.uint8).reshape(-1, _WIDE)))
         if parts:
             unit, ident, place, context = (np.concatenate(x) for x in zip(*parts, strict=True))
             runs += _settled(unit, ident, place, context)
+        if windows:
+            unit, ident, place, h = (np.concatenate(x) for x in zip(*windows, strict=True))
+            order = np.lexsort((h[:, 1], h[:, 0]))
+            new = np.concatenate([[True], (h[order[1:]] != h[order[:-1]]).any(axis=1)])
+            least = np.minimum.reduceat(ident[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+            gone = order[ident[order] > least]
+            runs.append((unit[gone], place[gone], place[gone] + LENGTH))
         if runs:
             yield _batch(RUNS, _run_rows(*(np.concatenate(x) for x in zip(*runs, strict=True))))
 
@@ -414,37 +515,53 @@ def _settled(unit, ident, place, context):
     start, group = _groups(anchor[first])
     size = np.diff(np.append(start, len(first)))
     first_id, text = ident[first], context[first]
-    least = np.repeat(first_id[:, None], _BACK + 1, axis=1)
-    most = SORT_BYTES // (_WIDE + 1)
-    todo: list[int] = []
-    for g in np.flatnonzero(size > 1):
-        mine = np.arange(start[g], start[g] + size[g])
-        if size[g] > most:
-            least[mine] = _least_by_column(text[mine], first_id[mine])
-            continue
-        if len(todo) + len(mine) > most:
-            least[todo] = _least_sorted(text[todo], first_id[todo])
-            todo = []
-        todo.extend(mine.tolist())
-    if todo:
-        least[todo] = _least_sorted(text[todo], first_id[todo])
-    # Windows within the text that a smaller document has as well.
     inside = text != _PAD
     lo, hi = inside.argmax(axis=1), _WIDE - inside[:, ::-1].argmax(axis=1)
-    offset = np.arange(_BACK + 1)
-    whole = (offset[None, :] >= lo[:, None]) & (offset[None, :] + LENGTH <= hi[:, None])
+    alone = (size == 1)[group]
     out = []
-    for at in range(0, len(unit), 1 << 16):
-        i = slice(at, at + (1 << 16))
-        gone = whole[kind[i]] & (least[kind[i]] < ident[i, None])
-        r, o = np.nonzero(gone)
+    # The one context of an anchor: all its windows are the smallest document's.
+    gone = alone[kind] & (first_id[kind] < ident) & (hi - lo >= LENGTH)[kind]
+    if gone.any():
+        begin = place[gone] - _BACK
+        out.append((unit[gone], begin + lo[kind[gone]], begin + hi[kind[gone]]))
+
+    # The others, as many anchors at once as one sorted text takes.
+    row_of = np.argsort(kind, kind="stable")
+    at_kind = np.searchsorted(kind[row_of], np.arange(len(first) + 1))
+    most = SORT_BYTES // (_WIDE + 1)
+    several = np.flatnonzero(size > 1)
+    for g in several[size[several] > most].tolist():
+        mine = np.arange(start[g], start[g] + size[g])
+        out += _lost(mine, _least_by_column(text[mine], first_id[mine]), row_of, at_kind, unit, ident, place, lo, hi)
+    several = several[size[several] <= most]
+    # Half a text is filled before the next group may overfill it.
+    part = (np.cumsum(size[several]) - size[several]) // max(1, most // 2)
+    for s, e in _cuts(part) if len(part) else []:
+        g = several[s:e]
+        n = size[g]
+        these = np.repeat(start[g] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out += _lost(these, _least_sorted(text[these], first_id[these]), row_of, at_kind, unit, ident, place, lo, hi)
+    return out
+
+
+def _lost(kinds, least, row_of, at_kind, unit, ident, place, lo, hi):
+    """Runs of the windows around the given distinct contexts that a smaller document has as well."""
+    n = np.diff(at_kind)[kinds]
+    which = np.repeat(np.arange(len(kinds)), n)
+    rows = row_of[np.repeat(at_kind[kinds] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    offset, out = np.arange(_BACK + 1), []
+    for at in range(0, len(rows), 1 << 16):
+        i, k = rows[at : at + (1 << 16)], which[at : at + (1 << 16)]
+        c = kinds[k]
+        whole = (offset[None, :] >= lo[c, None]) & (offset[None, :] + LENGTH <= hi[c, None])
+        r, o = np.nonzero(whole & (least[k] < ident[i, None]))
         if len(r):
-            begin = place[i][r] - _BACK + o
+            begin = place[i[r]] - _BACK + o
             # Neighbouring windows of one row as one run.
             new = np.concatenate([[True], (r[1:] != r[:-1]) | (begin[1:] > begin[:-1] + LENGTH)])
             head = np.flatnonzero(new)
             tail = np.append(head[1:], len(r)) - 1
-            out.append((unit[i][r[head]], begin[head], begin[tail] + LENGTH))
+            out.append((unit[i[r[head]]], begin[head], begin[tail] + LENGTH))
     return out
 
 
@@ -486,6 +603,8 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     total = units.agg(F.sum("n")).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
 
+    held = docs.sparkSession.sparkContext.broadcast(frequent_anchors(docs))
+
     id_ = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
     # Not an equality of columns, which would join the keys: all three joins then read one exchange of the texts.
     is_first = id_.bitwiseXOR(F.col("id")) == 0
@@ -496,7 +615,7 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
 
     there = units.select("k", "id", "unit").join(places, "unit")
     again = docs.join(there, F.col("key") == F.col("k")).where(is_first).select("unit", "id", "text", "places")
-    dealt = again.mapInArrow(_find_contexts(buckets), CONTEXTS_DDL).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = again.mapInArrow(_find_contexts(FINER * buckets, held), CONTEXTS_DDL).repartition(FINER * buckets, "bucket").sortWithinPartitions("bucket")
     runs = dealt.mapInArrow(_settle, "unit long, runs binary").groupBy("unit").agg(F.collect_list("runs").alias("runs"))
 
     there = units.select("k", "id", "unit").join(runs, "unit", "left").drop("unit")

@@ -306,6 +306,8 @@ def test_mix_meets_targets(spark, monkeypatch, rows):
 def test_training_order_is_sorted_and_follows_the_schedule(spark):
     texts = [prose(20, k) for k in range(900)]
     docs = documents(spark, texts, sources=["abc"[k % 3] for k in range(900)]).drop("size").withColumn("size", mixing.n_words())
+    for clash in ("target", "taken", "position", "reading", "source_size"):
+        docs = docs.withColumn(clash, F.lit("clash"))
     out = mixing.training_order(mixing.mix_sources(docs, docs.select("doc_id", "source", "size")))
     rows = out.collect()
     at = [x.position for x in rows]
@@ -356,9 +358,11 @@ def passages(seed):
     return out + ["ab" * 100, "ab" * 60 + "c" + "ab" * 40, "z" * 200, "y" + "z" * 49, "z" * 49, "z" * 50]
 
 
-@pytest.mark.parametrize("sort_bytes", [1 << 20, 500])
-def test_removal_matches_all_windows(spark, monkeypatch, sort_bytes):
+@pytest.mark.parametrize(("sort_bytes", "hot"), [(1 << 20, 16), (500, 10**6), (1 << 20, 3), (1 << 20, 1)])
+def test_removal_matches_all_windows(spark, monkeypatch, sort_bytes, hot):
     monkeypatch.setattr(suffix_dedup, "SORT_BYTES", sort_bytes)
+    monkeypatch.setattr(suffix_dedup, "HOT_SAMPLE", "g")  # every text
+    monkeypatch.setattr(suffix_dedup, "HOT_LEAST", hot)
     monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 4000)
     texts = passages(sort_bytes) + [None, "", " ", "𝒳" * 60, "𝒳" * 60]
     r = random.Random(2)
