@@ -19,7 +19,7 @@ that keeps equal ``LENGTH``-byte prefixes together, and only those that can repe
 
 Frequent anchors, such as those at the ends of a passage that many documents share, have about as many distinct
 contexts as documents, which must not meet in one task.  A sample of the texts names them (it steers the dealing,
-not the result); each window around them is dealt by its own 128-bit hash, and equal windows of a batch are sent
+not the result); each window around them is dealt by its own 96-bit hash, and equal windows of a batch are sent
 once, so a passage of any number of documents costs one row a batch.  An anchor that the sample missed and whose
 distinct contexts exceed one text is compared column by column (the windows at one distance from it, sorted by hash
 and verified byte by byte), which needs memory for its contexts only.
@@ -222,7 +222,8 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
-#: Anchors of a batch in one bucket.  known: met in two documents already; hash: 5 bytes each, if not known.
+#: Anchors of a batch in one bucket.  known: met in two documents already; hash: 4 bytes each, if not known
+#: (with the bucket some 37 bits: one in some 2,000 kept anchors of a bucket isn't repeated, which costs its context).
 ANCHORS = pa.schema([("bucket", pa.int64()), ("known", pa.bool_()), ("units", pa.binary()), ("ids", pa.binary()), ("n", pa.binary()), ("place", pa.binary()), ("hash", pa.binary())])
 ANCHORS_DDL = "bucket long, known boolean, units binary, ids binary, n binary, place binary, hash binary"
 #: Places of repeated anchors in a unit.
@@ -258,8 +259,8 @@ def _find_anchors(buckets: int):
                 rows = []
                 for s, e in _cuts(known[order], bucket[order]):
                     o = order[s:e]
-                    five = b"" if known[o[0]] else tail[o].view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-                    rows.append((int(bucket[o[0]]), bool(known[o[0]]), *_per_unit(unit, ident, row[o]), _planes(place[o] - t.starts[row[o]]), five))
+                    four = b"" if known[o[0]] else tail[o].astype(np.uint32).tobytes()
+                    rows.append((int(bucket[o[0]]), bool(known[o[0]]), *_per_unit(unit, ident, row[o]), _planes(place[o] - t.starts[row[o]]), four))
                 yield _batch(ANCHORS, rows)
 
     return run
@@ -299,9 +300,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             units.append(unit)
             ids.append(ident)
             places.append(place)
-            wide = np.zeros((len(unit), 8), np.uint8)
-            wide[:, :5] = np.frombuffer(r["hash"], np.uint8).reshape(-1, 5)
-            hashes.append(wide.view(np.uint64).ravel())
+            hashes.append(np.frombuffer(r["hash"], np.uint32))
         unit, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (units, places))
         if hashes:
             ident, h = np.concatenate(ids), np.concatenate(hashes)
@@ -403,7 +402,7 @@ def _hot_windows(context, unit, ident, place, row, buckets: int) -> list[tuple]:
             tail = np.append(head[1:], len(i)) - 1
             out.append((int(target[i[0]]), AS_RUNS, *_per_unit(unit, ident, row[i[head]]), _planes(start[i[head]]), _planes(start[i[tail]] + LENGTH)))
         else:
-            out.append((int(target[i[0]]), AS_WINDOWS, *_per_unit(unit, ident, row[i]), _planes(start[i]), np.stack([h1[i], h2[i]], axis=1).tobytes()))
+            out.append((int(target[i[0]]), AS_WINDOWS, *_per_unit(unit, ident, row[i]), _planes(start[i]), h1[i].tobytes() + h2[i].astype(np.uint32).tobytes()))
     return out
 
 
@@ -486,7 +485,9 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in rows:
             unit, ident, place = _entries(r)
             if r["kind"] == AS_WINDOWS:
-                windows.append((unit, ident, place.astype(np.int64), np.frombuffer(r["context"], np.uint64).reshape(-1, 2)))
+                n = len(unit)
+                h = np.stack([np.frombuffer(r["context"], np.uint64, n), np.frombuffer(r["context"], np.uint32, n, 8 * n).astype(np.uint64)], axis=1)
+                windows.append((unit, ident, place.astype(np.int64), h))
             elif r["kind"] == AS_RUNS:
                 runs.append((unit, place.astype(np.int64), _from_planes(r["context"]).astype(np.int64)))
             else:
