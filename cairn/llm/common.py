@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 #: Bytes of one Arrow batch, beside Spark's limit of rows: memory then doesn't follow the longest texts.
-BATCH_BYTES = 64 << 20
+BATCH_BYTES = 16 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -27,7 +27,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder that the cluster names.
 
     The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset a folder is chosen
-    here: a temporary one in local mode, else one below the (shared) warehouse.
+    here: a temporary one in local mode, else one below the (shared) warehouse.  What the cut lineage held
+    (shuffle files, plans, broadcasts) is let go at once rather than when the driver's heap happens to fill.
     """
     spark = df.sparkSession
     bound_batches(spark)
@@ -39,13 +40,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
             local = sc.master.startswith("local[") or sc.master == "local"
             named = tempfile.mkdtemp(prefix="cairn-checkpoint-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         sc.setCheckpointDir(named)
-    return df.checkpoint(eager=True)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets the driver find what nothing refers to any more, so that shuffle files of lineage that was cut go now
-    rather than when its heap happens to fill."""
+    out = df.checkpoint(eager=True)
     spark._jvm.System.gc()
+    return out
 
 
 def compact(df: DataFrame, rows: int, rows_a_part: int = 50_000) -> DataFrame:

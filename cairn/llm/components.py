@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import checkpoint, compact, release
+from cairn.llm.common import checkpoint, compact
 
 
 def _large_star(edges: DataFrame, n: int) -> DataFrame:
@@ -21,20 +21,23 @@ def _small_star(edges: DataFrame, n: int) -> DataFrame:
     return moved.union(least.select(F.col("u"), F.col("m"))).distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge down, and no lower node has any."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    odd = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))
+    return odd.limit(1).count() == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (the least node) for every node of ``edges`` (a, b: long) but the least ones themselves.
 
     Each step is two aggregations with map-side combining and two equi-joins against one row a node, cut off by
     checkpoints; edges never meet in one list.  The number of steps grows with the logarithm of the longest path.
     """
-    now, seen = checkpoint(edges.where(F.col("a") != F.col("b")).select("a", "b").distinct()), None
+    now = checkpoint(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     n = now.count()
     now = compact(now, n)
-    while True:
+    while n and not _stars(now):
         now = checkpoint(compact(_large_star(now, n), n))
         now = checkpoint(compact(_small_star(now, n), n))
-        release(edges.sparkSession)
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
-        if state == seen:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        seen = state
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component"))

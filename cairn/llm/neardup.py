@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import bound_batches, checkpoint, compact, release, table, text_or_empty
+from cairn.llm.common import bound_batches, checkpoint, compact, table, text_or_empty
 from cairn.llm.components import components
 from cairn.llm.darts import signatures, weighted_jaccard
 from cairn.llm.shingles import mix, shingles
@@ -165,8 +165,7 @@ def _within(similarity: float):
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row a distinct text: ``key, class`` (an internal number), ``first_id, n``."""
-    spark = docs.sparkSession
-    bound_batches(spark)
+    bound_batches(docs.sparkSession)
     n = docs.count()
     nodes = _nodes(docs, n)
     rows = nodes.where(F.col("bands").isNotNull()).select("id", F.explode("bands").alias("bucket"))
@@ -178,7 +177,6 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     counts = _shingle_counts(docs, nodes.select("key", "first_id", "id").join(wanted, "id"), n)
     links = checkpoint(_verified(pairs, counts, similarity))
-    release(spark)
     joined = components(links)
 
     component = F.coalesce("component", "id").alias("component")
