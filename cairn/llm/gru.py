@@ -89,6 +89,13 @@ def _log_sum(x):
     return np.log(np.exp(np.minimum(x, _F(80))).sum(axis=1))
 
 
+def _softmax(x):
+    """By row, in place; logits stay far below the range of float32."""
+    np.exp(np.minimum(x, 80, out=x), out=x)
+    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
+    return x
+
+
 def score_documents(model: Gru, ids: np.ndarray, lengths: np.ndarray, lanes: int = 1024) -> np.ndarray:
     """Natural log-likelihood of each document; ``ids`` holds their ids end to end.
 
@@ -128,8 +135,11 @@ class Trainer:
         self.m = {k: np.zeros_like(v) for k, v in model.p.items()}
         self.v = {k: np.zeros_like(v) for k, v in model.p.items()}
 
-    def window(self, ids: np.ndarray, state: np.ndarray) -> np.ndarray:
-        """One update from ``ids`` (lanes, words); returns the carried state."""
+    def window(self, ids: np.ndarray, state: np.ndarray, live: np.ndarray | None = None) -> np.ndarray:
+        """One update from ``ids`` (lanes, words); returns the carried state.
+
+        ``live``, where given, marks the words; what follows a lane's last one adds nothing.
+        """
         g, p, h = self.model, self.model.p, HIDDEN
         lanes, steps = ids.shape
         states, kept = [state], []
@@ -139,45 +149,52 @@ class Trainer:
             kept.append(rest)
         grad = {k: np.zeros_like(v) for k, v in p.items()}
         flat, words = np.concatenate(states[:-1]), ids.T.ravel()
-        d_states = self._output(flat, words, grad).reshape(steps, lanes, h)
+        if live is None or live.all():
+            n, d_states = lanes * steps, self._output(flat, words, grad)
+        else:
+            there = np.flatnonzero(live.T)
+            n, d_states = len(there), np.zeros_like(flat)
+            d_states[there] = self._output(flat[there], words[there], grad)
+        d_states = d_states.reshape(steps, lanes, h)
         d = np.zeros((lanes, h), _F)
         d_in = np.empty((steps, lanes, 3 * h), _F)
+        rec_zr, rec_c = p["rec"][:, : 2 * h].T.copy(), p["rec"][:, 2 * h :].T.copy()
         for t in range(steps - 1, -1, -1):
             z, r, c, rs = kept[t]
             old = states[t]
             dc = d * z * (1 - c * c)
             dz = d * (c - old) * z * (1 - z)
-            d_rs = dc @ p["rec"][:, 2 * h :].T
+            d_rs = dc @ rec_c
             dr = d_rs * old * r * (1 - r)
-            d_in[t] = np.concatenate([dz, dr, dc], axis=1)
-            zr = d_in[t][:, : 2 * h]
-            grad["rec"][:, : 2 * h] += old.T @ zr
-            grad["rec"][:, 2 * h :] += rs.T @ dc
-            d = d * (1 - z) + d_rs * r + zr @ p["rec"][:, : 2 * h].T + d_states[t]
+            here = d_in[t]
+            here[:, :h], here[:, h : 2 * h], here[:, 2 * h :] = dz, dr, dc
+            d = d * (1 - z) + d_rs * r + here[:, : 2 * h] @ rec_zr + d_states[t]
         rows = d_in.reshape(-1, 3 * h)
+        grad["rec"][:, : 2 * h] = flat.T @ rows[:, : 2 * h]
+        grad["rec"][:, 2 * h :] = np.concatenate([x[3] for x in kept]).T @ rows[:, 2 * h :]
         grad["b"] += rows.sum(axis=0)
         order = np.argsort(words, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], words[order][1:] != words[order][:-1]]))
         grad["in"][words[order[first]]] = np.add.reduceat(rows[order], first, axis=0)
-        self._update(grad, lanes * steps)
+        self._update(grad, n)
         return states[-1]
 
     def _output(self, states, words, grad):
         g, p = self.model, self.model.p
         cls, d = g.classes_of(words), np.zeros_like(states)
         logits = states @ p["cls"] + p["cls_b"]
-        e = np.exp(logits - logits.max(axis=1, keepdims=True))
-        e /= e.sum(axis=1, keepdims=True)
+        e = _softmax(logits)
         e[np.arange(len(cls)), cls] -= 1
         grad["cls"] += states.T @ e
         grad["cls_b"] += e.sum(axis=0)
         d += e @ p["cls"].T
-        for k in np.unique(cls[cls < g.blocks]):
-            rows = np.flatnonzero(cls == k)
+        order = np.argsort(cls.astype(np.int16), kind="stable")
+        cut = np.searchsorted(cls[order], np.arange(g.blocks + 1))
+        for k in np.flatnonzero(np.diff(cut)):
+            rows = order[cut[k] : cut[k + 1]]
             s = states[rows]
             logits = s @ p["word"][k] + p["word_b"][k]
-            e = np.exp(logits - logits.max(axis=1, keepdims=True))
-            e /= e.sum(axis=1, keepdims=True)
+            e = _softmax(logits)
             e[np.arange(len(rows)), words[rows] - k * BLOCK] -= 1
             grad["word"][k] += s.T @ e
             grad["word_b"][k] += e.sum(axis=0)

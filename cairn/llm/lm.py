@@ -6,8 +6,8 @@
    equal frequency, in which a word has its share of the class's count; all other words, unseen ones included,
    are one tail class, in which a word has (count + 1) of the tail's sum of (count + 1), plus 1.
 3. The recurrent network starts as the unigram model.  Every round each task trains a copy on windows of its
-   documents with truncated backpropagation, and the copies are averaged by their tokens.  A round takes every
-   ``EVERY``-th segment of the stream of all training texts, so what is learned from grows with the corpus.
+   documents with truncated backpropagation, and the copies are averaged by their tokens.  The rounds share out
+   the segments of each task's stream, so every training token is learned from once.
 4. One scan scores all documents with the state carried to each document's end; tail words leave it as
    (document, word, times) and meet their counts in a join.
 
@@ -37,7 +37,7 @@ from cairn.llm.gru import BLOCK, HIDDEN, WINDOW, Gru, Trainer, score_documents
 
 BLOCKS, MIDDLE = 32, 31
 KNOWN, LONGEST = 1 << 18, 64
-ROUNDS, EVERY, SEGMENT, LANES, RATE = 2, 8, 2 * WINDOW, 64, 0.03
+ROUNDS, SEGMENT, LANES, RATE = 2, 2 * WINDOW, 64, 0.03
 FLUSH = 400_000
 #: No word holds white space, so this one stands for a document's end.
 END = b"\n"
@@ -98,11 +98,14 @@ def _train(held, round_: int):
 
         def learn():
             nonlocal used
-            lanes = np.stack(segments)
+            lengths = np.array([len(x) for x in segments])
+            lanes = np.zeros((len(segments), SEGMENT), np.int32)
+            live = np.arange(SEGMENT) < lengths[:, None]
+            lanes[live] = np.concatenate(segments)
             state = np.zeros((len(lanes), HIDDEN), np.float32)
-            for at in range(0, SEGMENT, WINDOW):
-                state = trainer.window(lanes[:, at : at + WINDOW], state)
-            used += lanes.size
+            for at in range(0, lengths.max(), WINDOW):
+                state = trainer.window(lanes[:, at : at + WINDOW], state, live[:, at : at + WINDOW])
+            used += int(lengths.sum())
             segments.clear()
 
         for batch in batches:
@@ -111,7 +114,7 @@ def _train(held, round_: int):
                 while at < len(words):
                     segment, inside = divmod(seen, SEGMENT)
                     end = min(at + SEGMENT - inside, len(words))
-                    if segment % EVERY == round_:
+                    if segment % ROUNDS == round_:
                         part.append(vocabulary.places(words[at:end]))
                         if inside + end - at == SEGMENT:
                             segments.append(vocabulary.ids[np.concatenate(part)])
@@ -120,6 +123,8 @@ def _train(held, round_: int):
                                 learn()
                     seen += end - at
                     at = end
+        if part:
+            segments.append(vocabulary.ids[np.concatenate(part)])
         if segments:
             learn()
         if used:

@@ -2,11 +2,14 @@
 
 import hashlib
 import math
+import pickle
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +57,20 @@ def test_model_beats_the_base_where_words_depend_on_each_other(spark):
     assert rows and sum(x.score for x in rows) > sum(x.base_score for x in rows) * 0.99
 
 
+def test_every_training_token_is_learned_from():
+    texts = [prose(n, k, 50) for k, n in enumerate((5, 700, 63, 64, 1, 333))]
+    n = Counter(w for t in texts for w in lm.tokens(t.encode()))
+    vocabulary = lm.Vocabulary(list(n), np.array(list(n.values())), n.total(), len(n))
+    packed = pickle.dumps(gru.Gru.fresh(vocabulary.unigrams, lm.BLOCKS))
+    batch = pa.RecordBatch.from_arrays([pa.array([t.encode() for t in texts], pa.binary())], names=["text"])
+    used = 0
+    for round_ in range(lm.ROUNDS):
+        for out in lm._train(SimpleNamespace(value=(vocabulary, packed)), round_)(iter([batch])):
+            used += sum(out.column("n").to_pylist())
+            assert np.isfinite(np.frombuffer(out.column("p")[0].as_py())).all()
+    assert used == n.total()
+
+
 def toy(seed=0, blocks=2, others=3):
     rng = np.random.default_rng(seed)
     return gru.Gru.fresh(rng.random(blocks * gru.BLOCK + others), blocks, seed)
@@ -111,6 +128,21 @@ def test_backpropagation_matches_finite_differences():
             assert g[at] == pytest.approx((up - down) / (2 * h), rel=0.05, abs=5e-3)
 
 
+def test_a_short_lane_adds_only_its_words():
+    rng, held = np.random.default_rng(4), []
+    ids, start = rng.integers(0, 2 * gru.BLOCK + 3, (2, 6)).astype(np.int32), np.zeros((2, gru.HIDDEN), np.float32)
+    live = np.arange(6) < np.array([[6], [4]])
+    trainer = gru.Trainer(toy(), 0.0)
+    trainer._update = lambda grad, n: held.append((grad, n))
+    trainer.window(ids, start, live)
+    trainer.window(ids[:1], start[:1])
+    trainer.window(ids[1:, :4], start[1:])
+    (both, n), (long, n_long), (short, n_short) = held
+    assert n == n_long + n_short == 10
+    for k, g in both.items():
+        assert np.allclose(g, long[k] + short[k], atol=1e-5)
+
+
 # op3
 
 
