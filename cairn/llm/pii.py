@@ -142,11 +142,11 @@ class Graph:
             values = ("b", _shape(word), _shape(left), _shape(right), left.lower(), right.lower(), _shape(core), (min(len(digits), 20), "@" in word), word[0], (word.count("."), word.count("-"), "+" in word))
             self.features.append([_feature(str(k), v) for k, v in enumerate(values)])
             self.spans.append((row, s, e))
-            if before == i - 1:
+            if chained := before == i - 1:
                 self.chain.append((node - 1, node))
             before = i
             if (key := _link(word)) is not None:
-                if key in last and last[key] != node - 1:
+                if key in last and not (chained and last[key] == node - 1):
                     self.skip.append((last[key], node))
                 last[key] = node
 

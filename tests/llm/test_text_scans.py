@@ -128,6 +128,27 @@ def test_the_field_carries_a_label_to_a_distant_mention(spark):
     assert 1 not in more
 
 
+@pytest.mark.parametrize("first,second", [("+14095558231", "4095558231"), ("ann@x.example", "(ann@x.example)")])
+def test_single_token_mentions_far_apart_are_linked(first, second):
+    far, near = pii.Graph(), pii.Graph()
+    far.add(0, f"{first} {'plain ' * 300} {second}")
+    near.add(0, f"{first} {second}")
+    assert (far.chain, far.skip) == ([], [(0, 1)])
+    assert (near.chain, near.skip) == ([(0, 1)], [])
+
+
+def test_the_field_carries_a_label_between_single_tokens():
+    said = pii.Graph()
+    said.add(0, "+14095558231")
+    model = pii.Model()
+    model.w[said.features[0], pii.KINDS["phone"] + 1] = 1.0
+    model.skip = 4 * np.eye(pii.N)
+    text = f"see +14095558231 {'plain ' * 300} or 4095558231 again"
+    base, more = pii.find([text, "or 4095558231 again"], model)
+    assert [text[s:e] for s, e, _ in base[0]] == ["+14095558231"]
+    assert [(text[s:e], k) for s, e, k in more.get(0, ())] == [("4095558231", "phone")] and not more.get(1)
+
+
 def test_message_passing_is_exact_on_a_tree():
     rng = np.random.default_rng(0)
     m = pii.Model()
