@@ -161,6 +161,22 @@ def test_message_passing_is_exact_on_a_tree():
     assert np.allclose(m.marginals(g), np.stack([p.sum((1, 2)), p.sum((0, 2)), p.sum((0, 1))]), atol=1e-3)
 
 
+def test_a_label_reaches_all_mentions_of_a_long_document():
+    said = pii.Graph()
+    said.add(0, "+14095558231")
+    m = pii.Model()
+    m.w[said.features[0][-1], 4] = 10.0  # has a plus sign
+    m.skip = 7 * np.eye(pii.N)
+    g = pii.Graph()
+    g.add(0, "+14095558231 " + "plain 4095558231 " * 60)
+    assert g.chain == [] and len(g.skip) == 60
+    pair, want = np.exp(m.skip), [np.exp(m.w[g.features[0]].sum(axis=0))]
+    for f in g.features[1:]:
+        want.append((want[-1] / want[-1].sum()) @ pair * np.exp(m.w[f].sum(axis=0)))
+    p = m.marginals(g)
+    assert np.allclose(p[-1], want[-1] / want[-1].sum(), atol=1e-3) and p[-1, 4] > 0.5
+
+
 def test_checksummed_tokens_and_redaction(spark):
     body = "a1B2" * 7 + "zz"
     good = "ghp_" + body + secret_scan.base62_crc32(body)
