@@ -13,9 +13,9 @@ aggregation bounded by k rows a slice.  A task's memory is one query block and o
 d x d matrix reaches the driver, summed in two levels.
 
 Defined results: vectors that are null or hold a null or non-finite component, and rows without an id, take no
-part; shorter vectors count as padded with zeros; components saturate at 2^22 in size after scaling, which keeps
-every product exact for up to 512 components; rows that agree in id and vector count once, and a query's own id
-is no candidate; empty vectors score 0; ties go to the smaller id; an empty table gives an empty result.
+part; shorter vectors count as padded with zeros; products that float64 may round are taken in wide integers, and
+scores beyond a BIGINT, on which the SQL fails, count as its bounds; rows that agree in id and vector count once
+(the SQL keeps each), and a query's own id is no candidate; empty vectors score 0; ties go to the smaller id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,28 +35,43 @@ QUERY_EVERY = 20
 QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 2048
 HEAD_SHARE = 0.25
+#: Sums of products below this size are exact in float64; scores end at ``MOST``.
+EXACT = 2.0**52
+MOST = (1 << 63) - 1
+#: Vectors whose components all stay below this size are held as int32; it also bounds a vector's say in the rotation.
 LIMIT = 1 << 22
 
 
 def _quantise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        ids, vecs, norms = [], [], []
+        ids, vecs, sizes, norms = [], [], [], []
         for i, v in zip(batch["vec_id"], batch["embedding"], strict=True):
             if v is None or i is None or i != i:
                 continue
             x = np.array([np.nan if y is None else y for y in v], dtype=np.float64)
             if np.isfinite(x).all():
-                q = np.clip(np.floor(np.minimum(np.maximum(x, -1e300), 1e300) * SCALE), -LIMIT, LIMIT).astype(np.int32)
+                most = np.finfo(np.float64).max / SCALE
+                q = np.floor(np.clip(x, -most, most) * SCALE) + 0.0
+                size = max(1.0, float(np.abs(q).max(initial=0)))
                 ids.append(int(i))
-                vecs.append(q.tobytes())
-                norms.append(float(np.sqrt((q.astype(np.float64) ** 2).sum())))
-        yield pd.DataFrame({"vec_id": ids, "vec": vecs, "norm": norms}).astype({"vec_id": "int64", "vec": object, "norm": "float64"})
+                vecs.append(q.astype(np.int32).tobytes() if size <= LIMIT else q.tobytes() + WIDE)
+                sizes.append(len(q))
+                norms.append(min(float(np.sqrt(((q / size) ** 2).sum())) * size, np.finfo(np.float64).max))
+        yield pd.DataFrame({"vec_id": ids, "vec": vecs, "size": sizes, "norm": norms}).astype({"vec_id": "int64", "vec": object, "size": "int32", "norm": "float64"})
+
+
+#: Ends the bytes of a vector held as float64.
+WIDE = b"w"
+
+
+def _components(v: bytes) -> np.ndarray:
+    return np.frombuffer(v, np.int32) if len(v) % 4 == 0 else np.frombuffer(v[:-1], np.float64)
 
 
 def _matrix(vecs, d: int) -> np.ndarray:
     out = np.zeros((len(vecs), d))
     for i, v in enumerate(vecs):
-        x = np.frombuffer(v, np.int32)
+        x = _components(v)
         out[i, : len(x)] = x
     return out
 
@@ -68,7 +83,7 @@ def _rotation(vectors: DataFrame, d: int) -> np.ndarray:
         total = np.zeros((d, d))
         for batch in batches:
             for at in range(0, len(batch), CANDIDATE_BLOCK):
-                x = _matrix(batch["vec"].iloc[at : at + CANDIDATE_BLOCK], d)
+                x = np.clip(_matrix(batch["vec"].iloc[at : at + CANDIDATE_BLOCK], d), -LIMIT, LIMIT)
                 total += x.T @ x
         yield pd.DataFrame({"m": [total.tobytes()]})
 
@@ -92,8 +107,9 @@ def _pack(size: int):
         ids, vecs, norms, part = [], [], [], None
 
         def block():
-            width = max(map(len, vecs)) // 4
-            return pd.DataFrame({"part": [part], "ids": [np.array(ids, np.int64).tobytes()], "width": [width], "vecs": [_matrix(vecs, width).astype(np.int32).tobytes()], "norm": [max(norms)]})
+            width = max(len(_components(v)) for v in vecs)
+            kind = np.float64 if any(len(v) % 4 for v in vecs) else np.int32
+            return pd.DataFrame({"part": [part], "ids": [np.array(ids, np.int64).tobytes()], "width": [width], "vecs": [_matrix(vecs, width).astype(kind).tobytes()], "norm": [max(norms)]})
 
         for batch in batches:
             for p, i, v, n in zip(batch["part"], batch["vec_id"], batch["vec"], batch["norm"], strict=True):
@@ -125,22 +141,30 @@ class _Search:
         self.least = np.full(len(ids), -np.inf)  # each query's k-th score so far
         self.best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))  # query row, id, score
 
+    @np.errstate(over="ignore", invalid="ignore")
     def feed(self, ids: np.ndarray, vecs: np.ndarray, longest: float) -> None:
+        """What overflows a bound is no reason to skip a pair."""
         margin = 1e-6 * (1 + self.q_norm * longest)
-        open_ = np.flatnonzero(self.q_norm * longest + margin >= self.least)
+        open_ = np.flatnonzero(~(self.q_norm * longest + margin < self.least))
         if not len(open_):
             return
         turned = vecs @ self.rotation
         rest = np.sqrt((turned[:, self.head :] ** 2).sum(axis=1))
         bound = self.q_head[open_] @ turned[:, : self.head].T + self.q_rest[open_, None] * rest + margin[open_, None]
-        row, col = np.nonzero(bound >= self.least[open_, None])
+        row, col = np.nonzero(~(bound < self.least[open_, None]))
         if len(row) * 4 > bound.size:
             score = (self.q[open_] @ vecs.T)[row, col]
         else:
             score = np.concatenate([np.einsum("ij,ij->i", self.q[open_[row[a : a + 65536]]], vecs[col[a : a + 65536]]) for a in range(0, len(row), 65536)] or [np.zeros(0)])
         row = open_[row]
+        wide = np.flatnonzero(~(self.q_norm[row] * np.sqrt((vecs**2).sum(axis=1))[col] < EXACT))
+        score[wide] = 0
+        score = score.astype(np.int64)
+        for at in wide:
+            whole = sum(int(a) * int(b) for a, b in zip(self.q[row[at]].tolist(), vecs[col[at]].tolist(), strict=True))
+            score[at] = max(-MOST, min(MOST, whole))
         good = (score >= self.least[row]) & (self.ids[row] != ids[col])
-        row, cand, score = (np.concatenate(x) for x in zip(self.best, (row[good], ids[col[good]], score[good].astype(np.int64)), strict=True))
+        row, cand, score = (np.concatenate(x) for x in zip(self.best, (row[good], ids[col[good]], score[good]), strict=True))
         order = np.lexsort((cand, -score, row))
         row, cand, score = row[order], cand[order], score[order]
         first = np.searchsorted(row, row, side="left")
@@ -158,11 +182,11 @@ def top_k(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY) -> Dat
     """``query_id, rank, vec_id, score`` for every row whose ``vec_id`` is divisible by ``query_every``."""
     spark = vectors.sparkSession
     out_type = "query_id long, vec_id long, score long"
-    whole = vectors.select("vec_id", "embedding").mapInPandas(_quantise, "vec_id long, vec binary, norm double").dropDuplicates(["vec_id", "vec"])
+    whole = vectors.select("vec_id", "embedding").mapInPandas(_quantise, "vec_id long, vec binary, size int, norm double").dropDuplicates(["vec_id", "vec"])
     whole = checkpoint(whole)
     is_query = F.col("vec_id") % query_every == 0
-    size = whole.agg(F.max(F.octet_length("vec")).alias("w"), F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
-    d = max(1, (size["w"] or 0) // 4)
+    size = whole.agg(F.max("size").alias("w"), F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
+    d = max(1, size["w"] or 0)
     held = spark.sparkContext.broadcast(_rotation(whole, d))
     query_blocks = max(1, -(-size["q"] // QUERY_BLOCK))
     parallel = spark.sparkContext.defaultParallelism
@@ -189,7 +213,8 @@ def top_k(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY) -> Dat
                     task, running = t, []
                 ids = np.frombuffer(ids, np.int64)
                 x = np.zeros((len(ids), d))
-                x[:, :width] = np.frombuffer(vecs, np.int32).reshape(len(ids), width)
+                kept = np.float64 if len(vecs) > 4 * width * len(ids) else np.int32
+                x[:, :width] = np.frombuffer(vecs, kept).reshape(len(ids), width)
                 if kind == 0:
                     running.append(_Search(ids, x, rotation, k))
                 else:

@@ -164,6 +164,19 @@ def test_top_k_matches_all_products(spark, monkeypatch, seed):
     assert {tuple(r) for r in topk.top_k(df).collect()} == want
 
 
+def test_top_k_of_vectors_with_large_components(spark):
+    rng = np.random.default_rng(9)
+    vecs = rng.normal(size=(120, 8)) * rng.choice([1, 1e5, 3e6], (120, 1))
+    vecs[7, 0] = 1e30
+    q = [[math.floor(64 * x) for x in v] for v in vecs.tolist()]
+    want = set()
+    for i in range(0, 120, 20):
+        ranked = sorted((-max(-topk.MOST, min(topk.MOST, sum(a * b for a, b in zip(q[i], q[j], strict=True)))), j) for j in range(120) if j != i)
+        want |= {(i, k + 1, j, -s) for k, (s, j) in enumerate(ranked[:20])}
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vecs.tolist())], "vec_id long, embedding array<double>")
+    assert {tuple(r) for r in topk.top_k(df).collect()} == want
+
+
 def test_top_k_of_few_or_no_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.5]), (20, [0.5, 1.0])], "vec_id long, embedding array<float>")
     assert {tuple(r) for r in topk.top_k(df).collect()} == {(0, 1, 20, 64 * 32 * 2), (20, 1, 0, 64 * 32 * 2)}
