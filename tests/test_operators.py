@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn import schema
 from cairn.functions import identity as I
+from cairn.functions import text as T
 from cairn.operators import graph as G
 from cairn.operators import merge as M
 from cairn.operators import scan as L
@@ -55,7 +56,7 @@ def test_scores_of_a_large_tree(spark):
         f, text = row(k)
         f["lexicalTerms"] = list(dict.fromkeys(re.findall(r"[\w$-]{2,}", (f["path"] + " " + text).lower())))
         rows.append(f)
-    index = S.build_index(table(spark, rows)).cache()
+    index = S.build_index(table(spark, rows))
     got = {r.path: r.score for r in S.search(index, "BATCH_MARKER_99", limit=20).collect()}
     for path, score in {"src/file-00019.ts": 8.630246664257141, "src/file-00009.ts": 8.630244594528328, "src/file-00010.ts": 8.616427503921678}.items():
         assert got[path] == pytest.approx(score, abs=1e-3)
@@ -115,10 +116,11 @@ def test_excerpts():
     assert L.utf8_prefix("aé", 2) == "a"
 
 
-def test_strong_anchors_do_not_overlap():
-    assert L.has_strong_anchors("call foo_bar and Baz.qux", ["foo_bar", "baz.qux"])
-    assert not L.has_strong_anchors("xfoo_bar foo_bar.x baz.qux", ["foo_bar", "baz.qux"])
-    assert not L.has_strong_anchors("foo_bar foo_bar", ["foo_bar", "foo"])
+def test_strong_names_are_whole_and_two(spark):
+    names = ["foo_bar", "baz.qux", "foo"]
+    rows = [("call foo_bar and Baz.qux", 2), ("xfoo_bar foo_bar.x baz.qux", 1), ("foo_bar foo_bar", 1), ("", 0), (None, 0), ("(foo)foo_bar", 2)]
+    got = spark.createDataFrame(rows, "t string, n int").select("n", T.names_in("t", names).alias("got")).collect()
+    assert all(r.n == r.got for r in got)
 
 
 def test_running_totals(spark):
