@@ -92,7 +92,7 @@ class Engine:
     def _serve(self, files: DataFrame) -> None:
         if self.index is not None:
             self.index.postings.unpersist()
-        self.index = self._timed("searchIndexBuild", lambda: search.build_index(files).cache())
+        self.index = self._timed("searchIndexBuild", lambda: search.build_index(files))
 
     def apply(self, changes: DataFrame) -> None:
         """Changes (path, event, seq): the newest of each path is read again, or removed; other files stay as they are."""

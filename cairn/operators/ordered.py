@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.materialise import materialise
+
 
 def running(df: DataFrame, order: list, totals: dict[str, str], partitions: int | None = None) -> DataFrame:
     """``df`` plus, for each ``name: expression`` of ``totals``, the sum of the expression up to and with the row.
@@ -14,8 +16,7 @@ def running(df: DataFrame, order: list, totals: dict[str, str], partitions: int
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *order).withColumn("_run_part", F.spark_partition_id())
-    dealt = dealt.persist()
+    dealt = materialise(df.repartitionByRange(n, *order).withColumn("_run_part", F.spark_partition_id()))
     sums = dealt.groupBy("_run_part").agg(*[F.sum(F.expr(e)).alias(f"_run_{k}") for k, e in totals.items()])
     before = Window.orderBy("_run_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("_run_part", *[F.coalesce(F.sum(f"_run_{k}").over(before), F.lit(0)).alias(f"_run_{k}") for k in totals])

@@ -1,9 +1,10 @@
 """Indexed search: eight-field BM25+ with exact, prefix and fuzzy terms, feature re-ranking, top k.
 
-``build_index`` turns a file table into postings ``(path, field, term, tf, len)``, one row each; store it, or cache it,
-and any number of queries run on it.  A query is a few short strings on the driver; the vocabulary is matched by
-a projection with the query's terms as literals (no join), postings of matching terms are found by an equi-join
-that Spark broadcasts only below its size threshold, and sums are combined before they are shuffled.
+``build_index`` tokenises a file table once and stores three tables: the files, postings ``(path, field, term, tf,
+len)`` and the vocabulary ``(field, term, df)``; any number of queries run on them.  A query is a few short strings on
+the driver; the vocabulary is matched by a projection with the query's terms as literals (no join), postings of
+matching terms are found by an equi-join that Spark broadcasts only below its size threshold, and sums are combined
+before they are shuffled.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import text as T
+from cairn.operators.materialise import stored
 
 # Boosts and constants of the score.
 BOOSTS = {"symbols": 6.0, "exports": 5.0, "pathAliases": 4.0, "fileName": 3.0, "path": 2.5, "signatures": 2.0, "imports": 1.5, "terms": 1.0}
@@ -27,17 +29,14 @@ MAX_REASONS = 5
 
 @dataclass
 class Index:
-    """Postings, field lengths and the file table that they were built from."""
+    """The stored tables, the mean length of each field and the number of files."""
 
     files: DataFrame
     postings: DataFrame
+    vocabulary: DataFrame
     averages: dict[str, float]
     n: int
 
-    def cache(self) -> Index:
-        self.postings = self.postings.cache()
-        return self
-
 
 def documents(files: DataFrame) -> DataFrame:
     """``path, field, text``: the eight indexed texts of each file."""
@@ -57,19 +56,31 @@ def documents(files: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """``path, field, term, tf, len``: tf counts spellings that fall together in lower case, len distinct spellings.
+    """``path, field, term, tf, len, opens``: tf counts spellings that fall together in lower case, len distinct spellings;
+    ``opens`` marks one posting of each text.
 
-    A text's tokens are counted within its row, so no shuffle is needed.
+    A text's tokens are counted within its row, so nothing is shuffled: spellings that fall together are neighbours
+    in sorted order.
     """
-    tokens = docs.select("path", "field", T.linked_tokens("text").alias("t"))
-    each = tokens.select("path", "field", F.size("t").alias("len"), F.explode(F.transform("t", F.lower)).alias("term"))
-    return each.groupBy("path", "field", "len", "term").agg(F.count("*").alias("tf"))
+    tokens = docs.select("path", "field", F.transform(T.linked_tokens("text"), F.lower).alias("t"))
+    tokens = tokens.select("path", "field", F.size("t").alias("len"), F.array_distinct("t").alias("u"), "t")
+    ordered = tokens.select("path", "field", "len", F.when(F.size("u") == F.col("len"), F.col("u")).otherwise(F.array_sort("u")).alias("u"), F.when(F.size("u") < F.col("len"), F.array_sort("t")).alias("t"))
+    place = lambda i: F.array_position("t", F.element_at("u", i))
+    run = lambda x, i: F.when(i + 1 < F.size("u"), place(i + 2)).otherwise(F.col("len") + 1) - F.array_position("t", x)
+    counted = F.transform("u", lambda x, i: F.struct(x.alias("term"), F.when(F.col("t").isNull(), F.lit(1).cast("long")).otherwise(run(x, i)).alias("tf")))
+    each = ordered.select("path", "field", "len", F.posexplode(counted).alias("at", "p"))
+    return each.select("path", "field", "p.term", "p.tf", "len", (F.col("at") == 0).alias("opens"))
 
 
 def build_index(files: DataFrame) -> Index:
-    docs = documents(files)
-    lengths = docs.select("field", F.size(T.linked_tokens("text")).alias("len")).groupBy("field").agg(F.avg("len").alias("a"), F.count("*").alias("n")).collect()
-    return Index(files, postings(docs), {r["field"]: r["a"] for r in lengths}, max((r["n"] for r in lengths), default=0))
+    """Tokenises and stores; ``files`` is read once."""
+    files = stored(files)
+    found = stored(postings(documents(files)))
+    n = files.count()
+    lengths = found.where("opens").groupBy("field").agg(F.sum("len").alias("s")).collect()
+    averages = dict.fromkeys(BOOSTS, 0.0) if n else {}
+    averages |= {r["field"]: r["s"] / n for r in lengths}
+    return Index(files, found, stored(found.groupBy("field", "term").agg(F.count("*").alias("df"))), averages, n)
 
 
 def max_distance(term: str) -> int:
@@ -77,7 +88,7 @@ def max_distance(term: str) -> int:
 
 
 def expand(vocabulary: DataFrame, terms: list[str], prefix: bool = True, fuzzy: bool = True) -> DataFrame:
-    """``term, query_term, weight`` for all terms of ``vocabulary`` that a query term stands for."""
+    """``vocabulary`` plus ``query_term, weight`` for each of its terms and each query term that it stands for."""
 
     def match(q: str) -> Column:
         term, size, d = F.col("term"), F.length("term").cast("double"), max_distance(q)
@@ -91,7 +102,7 @@ def expand(vocabulary: DataFrame, terms: list[str], prefix: bool = True, fuzzy:
         return F.when(weight.isNotNull(), F.struct(F.lit(q).alias("query_term"), weight.alias("weight")))
 
     hits = F.filter(F.array(*[match(q) for q in terms]), lambda x: x.isNotNull())
-    return vocabulary.select("term", F.explode(hits).alias("h")).select("term", "h.query_term", "h.weight")
+    return vocabulary.select("*", F.explode(hits).alias("h")).select(*vocabulary.columns, "h.query_term", "h.weight")
 
 
 def bm25(index: Index, query: str, prefix: bool = True, fuzzy: bool = True) -> DataFrame:
@@ -99,14 +110,12 @@ def bm25(index: Index, query: str, prefix: bool = True, fuzzy: bool = True) -> D
     terms = [t.lower() for t in T.query_tokens(query)]
     if not terms:
         return index.files.sparkSession.createDataFrame([], "path string, score double, query_terms array<string>")
-    expanded = expand(index.postings.select("term").distinct(), terms, prefix, fuzzy)
-    hits = index.postings.join(expanded, "term")
-    found = index.postings.join(expanded.select("term").distinct(), "term", "left_semi").groupBy("field", "term").agg(F.count("*").alias("df"))
+    hits = index.postings.join(expand(index.vocabulary, terms, prefix, fuzzy), ["field", "term"])
     boost = reduce(lambda c, x: c.when(F.col("field") == x[0], F.lit(x[1])), BOOSTS.items(), F.when(F.lit(False), F.lit(0.0)))
     average = reduce(lambda c, x: c.when(F.col("field") == x[0], F.lit(float(x[1]))), index.averages.items(), F.when(F.lit(False), F.lit(0.0)))
     idf = F.log1p((F.lit(float(index.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = D + F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / average))
-    scored = hits.join(found, ["field", "term"]).groupBy("path").agg(F.sum(F.col("weight") * boost * idf * tf).alias("raw"), F.array_sort(F.collect_set("query_term")).alias("query_terms"))
+    scored = hits.groupBy("path").agg(F.sum(F.col("weight") * boost * idf * tf).alias("raw"), F.array_sort(F.collect_set("query_term")).alias("query_terms"))
     return scored.select("path", (F.col("raw") * F.size("query_terms")).alias("score"), "query_terms")
 
 

@@ -140,7 +140,7 @@ def noise_flags(spark, sf_dir) -> DataFrame:
 # Search.
 
 _FIELDS = f"""
-f AS (SELECT {DOC_PATH} AS path, 'doc-' || CAST(doc_id AS VARCHAR) AS stem, source, lang, array_to_string(list_slice({SQL_TERMS}, 1, 1000000), ' ') AS terms FROM documents),
+f AS (SELECT {DOC_PATH} AS path, 'doc-' || CAST(doc_id AS VARCHAR) AS stem, source, lang, array_to_string({SQL_TERMS}, ' ') AS terms FROM documents),
 x AS (
   SELECT path, 'path' AS field, 2.5::DOUBLE AS boost, path AS body FROM f UNION ALL SELECT path, 'fileName', 3.0, stem || '.txt' FROM f UNION ALL SELECT path, 'terms', 1.0, terms FROM f
   UNION ALL SELECT path, 'pathAliases', 4.0, path || ' ' || source || '/' || lang || '/' || stem || ' ' || stem || '.txt ' || stem || ' ' || source || '.' || lang || '.' || stem || ' ' || lang || '.' || stem FROM f),
@@ -169,10 +169,18 @@ hits AS (
   FROM p JOIN e USING (term) JOIN d USING (field, term) JOIN a USING (field) GROUP BY path)"""
 
 
+_INDEXES: dict[tuple, S.Index] = {}
+
+
 def _index(spark, sf_dir) -> S.Index:
-    # Documents are longer than the cap on terms; here all terms are kept, so that the SQL needs no order.
-    path = document_path()
-    return S.build_index(files(spark, sf_dir).drop("lexicalTerms").join(table(spark, sf_dir, "documents").select(path.alias("path"), T.lexical_terms(path, "text", 1000000).alias("lexicalTerms")), "path"))
+    """The stored index of the documents, built anew when the session or the table's files have changed."""
+    parts = table(spark, sf_dir, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().collect()
+    key = (spark.sparkContext.applicationId, sf_dir, tuple(sorted(map(str, parts))))
+    if key not in _INDEXES:
+        _INDEXES.clear()
+        # Documents are longer than the cap on terms; here all terms are kept, so that the SQL needs no order.
+        _INDEXES[key] = S.build_index(files(spark, sf_dir, 1 << 30))
+    return _INDEXES[key]
 
 
 def _rounded(hits: DataFrame) -> DataFrame:

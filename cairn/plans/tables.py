@@ -22,13 +22,13 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(document_path().alias("path"), "text")
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as a file table."""
+def files(spark: SparkSession, sf_dir: str, terms: int = T.MAX_TERMS) -> DataFrame:
+    """Documents as a file table, with at most ``terms`` terms each."""
     none = lambda kind: F.array().cast(f"array<{kind}>")
     text = F.coalesce("text", F.lit(""))
     return table(spark, sf_dir, "documents").select(
         document_path().alias("path"), F.lit("lexical").alias("kind"), F.lit("text").alias("language"), F.sha2(text.cast("binary"), 256).alias("contentHash"),
-        F.octet_length(text).cast("long").alias("sizeBytes"), T.lexical_terms(document_path(), text).alias("lexicalTerms"), none(schema.IMPORT).alias("imports"),
+        F.octet_length(text).cast("long").alias("sizeBytes"), T.lexical_terms(document_path(), text, terms).alias("lexicalTerms"), none(schema.IMPORT).alias("imports"),
         none(schema.EXPORT).alias("exports"), none(schema.SYMBOL).alias("symbols"), none("string").alias("dependencies"), F.lit(None).cast("string").alias("packageName"),
         F.lit(None).cast("string").alias("degradedReason"),
     )

@@ -6,12 +6,8 @@ store is partitioned by path, so it grows with the paths, not with the events.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Kinds of change, and what a path is after each.
 EVENTS = {"add": "indexed", "change": "indexed", "unlink": "missing", "read-error": "read-error"}
@@ -22,22 +18,10 @@ def read_changes(spark: SparkSession, folder: str, schema: str, files: str = "*.
     return spark.readStream.schema(schema).option("pathGlobFilter", files).option("maxFilesPerTrigger", per_trigger).parquet(folder)
 
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    newest = state.get if state.exists else None  # (seq, event, applied)
-    applied = newest[2] if newest else 0
-    for batch in batches:
-        applied += len(batch)
-        i = batch["seq"].to_numpy().argmax()
-        if newest is None or batch["seq"].iloc[i] > newest[0]:
-            newest = (int(batch["seq"].iloc[i]), str(batch["event"].iloc[i]), applied)
-    newest = (newest[0], newest[1], applied)
-    state.update(newest)
-    yield pd.DataFrame({"path": [key[0]], "seq": [newest[0]], "event": [newest[1]], "applied": [applied]})
-
-
 def latest(changes: DataFrame) -> DataFrame:
     """A streaming table of each touched path's newest event and how many were applied; update mode."""
-    return changes.groupBy("path").applyInPandasWithState(_advance, "path string, seq long, event string, applied long", "seq long, event string, applied long", "update", GroupStateTimeout.NoTimeout)
+    newest = F.max(F.struct("seq", "event")).alias("newest")
+    return changes.groupBy("path").agg(newest, F.count("*").alias("applied")).select("path", "newest.seq", "newest.event", "applied")
 
 
 def counts(changes: DataFrame, *by: str) -> DataFrame:
