@@ -62,6 +62,20 @@ class Gru:
         c = np.tanh(x[:, 2 * h :] + rs @ self.p["rec"][:, 2 * h :])
         return state + z * (c - state), z, r, c, rs
 
+    def by_block(self, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of head words by their class, and where each class starts and ends among them."""
+        order = np.argsort(cls.astype(np.int16), kind="stable")
+        cut = np.searchsorted(cls[order], np.arange(self.blocks + 1))
+        return order[: cut[-1]], cut
+
+    def word_logits(self, states: np.ndarray, cls: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        """Logits of the words of each row's block; rows are sorted by block."""
+        out = np.empty((len(states), BLOCK), _F)
+        for k in np.flatnonzero(np.diff(cut)):
+            np.matmul(states[cut[k] : cut[k + 1]], self.p["word"][k], out=out[cut[k] : cut[k + 1]])
+        out += self.p["word_b"][cls]
+        return out
+
     def log_likelihood(self, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each id (head word, or other class) after its state."""
         out = np.empty(len(ids), _F)
@@ -70,18 +84,20 @@ class Gru:
             s, c = states[at : at + _ROWS], cls[at : at + _ROWS]
             logits = s @ self.p["cls"] + self.p["cls_b"]
             out[at : at + _ROWS] = logits[np.arange(len(c)), c] - _log_sum(logits)
-        order = np.argsort(cls.astype(np.int16), kind="stable")
-        cut = np.searchsorted(cls[order], np.arange(self.blocks + 1))
-        for k in range(self.blocks):
-            for at in range(cut[k], cut[k + 1], _ROWS):
-                rows = order[at : min(at + _ROWS, cut[k + 1])]
-                logits = states[rows] @ self.p["word"][k] + self.p["word_b"][k]
-                out[rows] += logits[np.arange(len(rows)), ids[rows] - k * BLOCK] - _log_sum(logits)
+        order, cut = self.by_block(cls)
+        for at in range(0, len(order), _ROWS):
+            rows = order[at : at + _ROWS]
+            logits = self.word_logits(states[rows], cls[rows], np.clip(cut - at, 0, len(rows)))
+            out[rows] += logits[np.arange(len(rows)), ids[rows] - cls[rows] * BLOCK] - _log_sum(logits)
         return out
 
 
 def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.divide(1, x, out=x)
 
 
 def _log_sum(x):
@@ -140,15 +156,21 @@ class Trainer:
 
         ``live``, where given, marks the words; what follows a lane's last one adds nothing.
         """
-        g, p, h = self.model, self.model.p, HIDDEN
+        p, h = self.model.p, HIDDEN
         lanes, steps = ids.shape
-        states, kept = [state], []
+        rec_zr, rec_c = np.ascontiguousarray(p["rec"][:, : 2 * h]), np.ascontiguousarray(p["rec"][:, 2 * h :])
+        x = p["in"][ids.T] + p["b"]
+        states = np.empty((steps + 1, lanes, h), _F)
+        zr, c, rs = np.empty((steps, lanes, 2 * h), _F), np.empty((steps, lanes, h), _F), np.empty((steps, lanes, h), _F)
+        states[0] = state
         for t in range(steps):
-            new, *rest = g.step(ids[:, t], states[-1])
-            states.append(new)
-            kept.append(rest)
+            old = states[t]
+            zr[t] = _sigmoid(x[t, :, : 2 * h] + old @ rec_zr)
+            np.multiply(zr[t, :, h:], old, out=rs[t])
+            np.tanh(x[t, :, 2 * h :] + rs[t] @ rec_c, out=c[t])
+            np.add(old, zr[t, :, :h] * (c[t] - old), out=states[t + 1])
         grad = {k: np.zeros_like(v) for k, v in p.items()}
-        flat, words = np.concatenate(states[:-1]), ids.T.ravel()
+        flat, words = states[:-1].reshape(-1, h), ids.T.ravel()
         if live is None or live.all():
             n, d_states = lanes * steps, self._output(flat, words, grad)
         else:
@@ -156,24 +178,28 @@ class Trainer:
             n, d_states = len(there), np.zeros_like(flat)
             d_states[there] = self._output(flat[there], words[there], grad)
         d_states = d_states.reshape(steps, lanes, h)
-        d = np.zeros((lanes, h), _F)
-        d_in = np.empty((steps, lanes, 3 * h), _F)
-        rec_zr, rec_c = p["rec"][:, : 2 * h].T.copy(), p["rec"][:, 2 * h :].T.copy()
+        # What the gradient is multiplied by on its way back through each gate, for all steps at once.
+        z, r, before = zr[:, :, :h], zr[:, :, h:], states[:-1]
+        stay = 1 - z
+        to_c, to_z, to_r = z * (1 - c * c), (c - before) * z * stay, before * r * (1 - r)
+        back_zr, back_c = rec_zr.T.copy(), rec_c.T.copy()
+        d, d_in = np.zeros((lanes, h), _F), np.empty((steps, lanes, 3 * h), _F)
         for t in range(steps - 1, -1, -1):
-            z, r, c, rs = kept[t]
-            old = states[t]
-            dc = d * z * (1 - c * c)
-            dz = d * (c - old) * z * (1 - z)
-            d_rs = dc @ rec_c
-            dr = d_rs * old * r * (1 - r)
             here = d_in[t]
-            here[:, :h], here[:, h : 2 * h], here[:, 2 * h :] = dz, dr, dc
-            d = d * (1 - z) + d_rs * r + here[:, : 2 * h] @ rec_zr + d_states[t]
+            np.multiply(d, to_z[t], out=here[:, :h])
+            np.multiply(d, to_c[t], out=here[:, 2 * h :])
+            d_rs = here[:, 2 * h :] @ back_c
+            np.multiply(d_rs, to_r[t], out=here[:, h : 2 * h])
+            d *= stay[t]
+            d_rs *= r[t]
+            d += d_rs
+            d += here[:, : 2 * h] @ back_zr
+            d += d_states[t]
         rows = d_in.reshape(-1, 3 * h)
         grad["rec"][:, : 2 * h] = flat.T @ rows[:, : 2 * h]
-        grad["rec"][:, 2 * h :] = np.concatenate([x[3] for x in kept]).T @ rows[:, 2 * h :]
+        grad["rec"][:, 2 * h :] = rs.reshape(-1, h).T @ rows[:, 2 * h :]
         grad["b"] += rows.sum(axis=0)
-        order = np.argsort(words, kind="stable")
+        order = np.argsort(words.astype(np.int16), kind="stable") if len(p["in"]) < 1 << 15 else np.argsort(words, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], words[order][1:] != words[order][:-1]]))
         grad["in"][words[order[first]]] = np.add.reduceat(rows[order], first, axis=0)
         self._update(grad, n)
@@ -181,24 +207,27 @@ class Trainer:
 
     def _output(self, states, words, grad):
         g, p = self.model, self.model.p
-        cls, d = g.classes_of(words), np.zeros_like(states)
-        logits = states @ p["cls"] + p["cls_b"]
-        e = _softmax(logits)
+        cls = g.classes_of(words)
+        e = states @ p["cls"]
+        e += p["cls_b"]
+        _softmax(e)
         e[np.arange(len(cls)), cls] -= 1
         grad["cls"] += states.T @ e
         grad["cls_b"] += e.sum(axis=0)
-        d += e @ p["cls"].T
-        order = np.argsort(cls.astype(np.int16), kind="stable")
-        cut = np.searchsorted(cls[order], np.arange(g.blocks + 1))
-        for k in np.flatnonzero(np.diff(cut)):
-            rows = order[cut[k] : cut[k + 1]]
-            s = states[rows]
-            logits = s @ p["word"][k] + p["word_b"][k]
-            e = _softmax(logits)
-            e[np.arange(len(rows)), words[rows] - k * BLOCK] -= 1
-            grad["word"][k] += s.T @ e
-            grad["word_b"][k] += e.sum(axis=0)
-            d[rows] += e @ p["word"][k].T
+        d = e @ p["cls"].T
+        order, cut = g.by_block(cls)
+        if len(order):
+            s, mine = states[order], cls[order]
+            e = _softmax(g.word_logits(s, mine, cut))
+            e[np.arange(len(order)), words[order] - mine * BLOCK] -= 1
+            used = np.flatnonzero(np.diff(cut))
+            grad["word_b"][used] += np.add.reduceat(e, cut[used], axis=0)
+            back = np.empty_like(s)
+            for k in used:
+                part = e[cut[k] : cut[k + 1]]
+                np.matmul(s[cut[k] : cut[k + 1]].T, part, out=grad["word"][k])
+                np.matmul(part, p["word"][k].T, out=back[cut[k] : cut[k + 1]])
+            d[order] += back
         return d
 
     def _update(self, grad, n):
@@ -206,7 +235,16 @@ class Trainer:
         scale = _F(1 / n)
         a = self.rate * np.sqrt(1 - 0.98**self.t) / (1 - 0.9**self.t)
         for k, x in self.model.p.items():
-            g = grad[k] * scale
-            self.m[k] += _F(0.1) * (g - self.m[k])
-            self.v[k] += _F(0.02) * (g * g - self.v[k])
-            x -= _F(a) * self.m[k] / (np.sqrt(self.v[k]) + _F(1e-5))
+            g, m, v = grad[k], self.m[k], self.v[k]
+            g *= scale
+            m *= _F(0.9)
+            m += _F(0.1) * g
+            v *= _F(0.98)
+            g *= g
+            g *= _F(0.02)
+            v += g
+            np.sqrt(v, out=g)
+            g += _F(1e-5)
+            np.divide(m, g, out=g)
+            g *= _F(a)
+            x -= g

@@ -62,13 +62,30 @@ def test_every_training_token_is_learned_from():
     n = Counter(w for t in texts for w in lm.tokens(t.encode()))
     vocabulary = lm.Vocabulary(list(n), np.array(list(n.values())), n.total(), len(n))
     packed = pickle.dumps(gru.Gru.fresh(vocabulary.unigrams, lm.BLOCKS))
-    batch = pa.RecordBatch.from_arrays([pa.array([t.encode() for t in texts], pa.binary())], names=["text"])
-    used = 0
+    ids = [vocabulary.ids[vocabulary.places(lm.tokens(t.encode()))].astype(np.int16).tobytes() for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 0, 0, 1, 1, 4]), pa.array(ids, pa.binary())], names=["shard", "ids"])
+    used = Counter()
     for round_ in range(lm.ROUNDS):
-        for out in lm._train(SimpleNamespace(value=(vocabulary, packed)), round_)(iter([batch])):
-            used += sum(out.column("n").to_pylist())
+        for out in lm._learn(SimpleNamespace(value=packed), round_)(iter([batch])):
+            used.update(dict(zip(out.column("shard").to_pylist(), out.column("n").to_pylist(), strict=True)))
             assert np.isfinite(np.frombuffer(out.column("p")[0].as_py())).all()
-    assert used == n.total()
+    sizes = [len(lm.tokens(t.encode())) for t in texts]
+    assert used == {0: sum(sizes[:3]), 1: sum(sizes[3:5]), 4: sizes[5]}
+
+
+def test_sums_of_shards_are_added_as_a_tree():
+    sums = [lm._sums(k, np.full(3, float(k)), k) for k in (0, 1, lm.FAN - 1, lm.FAN, 3 * lm.FAN)]
+    out = {r["shard"]: (np.frombuffer(r["p"]).tolist(), r["n"]) for b in lm._add(iter(sums)) for r in b.to_pylist()}
+    n = lm.FAN
+    assert out == {0: ([float(n)] * 3, n), 1: ([float(n)] * 3, n), 3: ([3.0 * n] * 3, 3 * n)}
+
+
+def test_scores_do_not_depend_on_how_rows_are_stored(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 6000)
+    monkeypatch.setattr(lm, "FAN", 2)
+    docs = documents(spark, [prose(150 + k, k, 60) for k in range(200)])
+    one, four = ({r.doc_id: r.score for r in lm.score(d).collect()} for d in (docs.coalesce(1), docs.repartition(4, "doc_id")))
+    assert max(abs(one[k] - four[k]) for k in one) < 1e-3
 
 
 def toy(seed=0, blocks=2, others=3):
