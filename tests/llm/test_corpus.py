@@ -163,35 +163,49 @@ def test_a_short_lane_adds_only_its_words():
 # op3
 
 
-@pytest.mark.parametrize("seed", range(3))
+def best_products(vectors, k=20):
+    """Sorted (query, rank, id, score) of all products; every row but the query's own is a candidate."""
+    width = max(len(v) for _, v in vectors)
+    vectors = [(i, v + [0] * (width - len(v))) for i, v in vectors]
+    out = []
+    for a, (i, v) in enumerate(vectors):
+        if i % 20 == 0:
+            scores = ((-max(-topk.MOST, min(topk.MOST, sum(x * y for x, y in zip(v, w, strict=True)))), j) for b, (j, w) in enumerate(vectors) if a != b)
+            out += [(i, rank, j, -s) for rank, (s, j) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(4))
 def test_top_k_matches_all_products(spark, monkeypatch, seed):
-    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 32)
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(topk, "CANDIDATE_BYTES", 32 * 8 * 12)
+    monkeypatch.setattr(topk, "QUERY_BYTES", 4 * 8 * 12)
+    monkeypatch.setattr(topk, "SEEDS", 40)
     rng = np.random.default_rng(seed)
-    vecs = (rng.normal(size=(300, 12)) * rng.exponential(1, (300, 1)) * (0.02 if seed == 2 else 1)).astype(np.float32)
-    rows = [(i, [float(x) for x in v], "n") for i, v in enumerate(vecs)] + [(400, None, "n"), (420, [1.0, None], "n"), (440, [float("nan")] * 12, "n"), (460, [float("inf")] * 12, "n"), (None, [1.0] * 12, "n"), (0, [float(x) for x in vecs[0]], "n"), (480, [2.0, -1.0], "n"), (500, [], "n")]
-    q = {i: np.floor(64 * np.array(v, float)) for i, v, _ in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()}
-    q = {i: np.pad(v, (0, 12 - len(v))) for i, v in q.items()}
-    want = set()
-    for i in q:
-        if i % 20 == 0:
-            ranked = sorted(((-int(q[i] @ q[j]), j) for j in q if j != i))[:20]
-            want |= {(i, k + 1, j, -s) for k, (s, j) in enumerate(ranked)}
+    vecs = rng.normal(size=(300, 12)) * rng.exponential(1, (300, 1)) * (0.02 if seed == 2 else 1)
+    if seed == 3:
+        # One common length.
+        vecs = np.sign(vecs)
+    vecs = vecs.astype(np.float32)
+    rows = [(i, [float(x) for x in v], "n") for i, v in enumerate(vecs)] + [(400, None, "n"), (420, [1.0, None], "n"), (440, [float("nan")] * 12, "n"), (460, [float("inf")] * 12, "n"), (None, [1.0] * 12, "n"), (480, [2.0, -1.0], "n"), (500, [], "n")]
+    # Repeated rows, and other vectors that share an id.
+    rows += [rows[0], rows[0], rows[7], (20, rows[3][1], "n"), (5, rows[6][1], "n")]
+    want = best_products([(i, [math.floor(64 * x) for x in v]) for i, v, _ in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()])
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, norm string").repartition(5)
-    assert {tuple(r) for r in topk.top_k(df).collect()} == want
+    assert sorted(tuple(r) for r in topk.top_k(df).collect()) == want
 
 
 def test_top_k_of_vectors_with_large_components(spark):
     rng = np.random.default_rng(9)
     vecs = rng.normal(size=(120, 8)) * rng.choice([1, 1e5, 3e6], (120, 1))
     vecs[7, 0] = 1e30
-    q = [[math.floor(64 * x) for x in v] for v in vecs.tolist()]
-    want = set()
-    for i in range(0, 120, 20):
-        ranked = sorted((-max(-topk.MOST, min(topk.MOST, sum(a * b for a, b in zip(q[i], q[j], strict=True)))), j) for j in range(120) if j != i)
-        want |= {(i, k + 1, j, -s) for k, (s, j) in enumerate(ranked[:20])}
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vecs.tolist())], "vec_id long, embedding array<double>")
-    assert {tuple(r) for r in topk.top_k(df).collect()} == want
+    assert sorted(tuple(r) for r in topk.top_k(df).collect()) == best_products([(i, [math.floor(64 * x) for x in v]) for i, v in enumerate(vecs.tolist())])
+
+
+def test_top_k_does_not_saturate(spark):
+    vecs = {1: [100000.0, 0.0], 2: [200000.0, 0.0], 20: [70000.0, 1.0]}
+    df = spark.createDataFrame(list(vecs.items()), "vec_id long, embedding array<double>")
+    assert sorted((r.vec_id, r.score) for r in topk.top_k(df).collect()) == [(1, 28672000000000), (2, 57344000000000)]
 
 
 def test_top_k_of_few_or_no_rows(spark):
