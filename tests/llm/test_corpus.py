@@ -224,24 +224,70 @@ def plain_url(url):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in m[1]), m[2]
 
 
+def shaped(x):
+    if re.fullmatch("[0-9]+", x):
+        return "{n}"
+    if re.fullmatch(r"[0-9]+\.[A-Za-z0-9]+", x):
+        return "{n}" + x[x.index(".") :]
+    return "{h}" if re.fullmatch("[0-9a-fA-F-]{16,}", x) else x
+
+
+def plain_tree(pages):
+    """(template, rejected) of each (host, segments, label or None), by walking the tree."""
+    out = [None] * len(pages)
+    for host in {p[0] for p in pages}:
+        mine = [i for i, p in enumerate(pages) if p[0] == host]
+        depth = Counter((k, x) for i in mine for k, x in enumerate(pages[i][1]))
+        reach = Counter(k for i in mine for k in range(len(pages[i][1])))
+        general = {i: ["*" if depth[k, x] * urls.RARE < reach[k] else x for k, x in enumerate(pages[i][1])] for i in mine}
+        merged = {i: [] for i in mine}
+        for i in mine:
+            for k, x in enumerate(general[i]):
+                family = [j for j in mine if general[j][:k] == general[i][:k] and len(general[j]) > k and pages[j][2] is not None]
+                own = [pages[j][2] for j in family if general[j][k] == x]
+                rest = [pages[j][2] for j in family if general[j][k] != x]
+                differs = False
+                if own and rest:
+                    p, q, both = sum(own) / len(own), sum(rest) / len(rest), (sum(own) + sum(rest)) / (len(own) + len(rest))
+                    differs = (p - q) * (p - q) > urls.Z * urls.Z * both * (1 - both) * (1 / len(own) + 1 / len(rest))
+                merged[i].append(x if differs else "+")
+        for i in mine:
+            purity = 0.0
+            for k in range(len(merged[i]) + 1):
+                seen = [pages[j][2] for j in mine if merged[j][:k] == merged[i][:k] and len(merged[j]) >= k and pages[j][2] is not None]
+                purity = (sum(seen) + urls.SMOOTH * purity) / (len(seen) + urls.SMOOTH)
+            out[i] = "/" + "/".join(merged[i]), purity >= urls.REJECT
+    return out
+
+
 def test_urls_by_rules_and_templates(spark):
     r = random.Random(0)
     made = [None, "", "no scheme", "http://", "http://Example.COM/en/7x", "ftp://a://b/c", "http://h?x/y#z", "http://com/en/", "https://xcom/en/1", "http://É.org/es/é#f", "http://a.example.net/de/81?x", "http://a.net/de/9"]
-    made += [f"http://{h}/{r.choice(['en', 'de', 'es', 'fr'])}/{r.randrange(999)}{r.choice(['', '.html', '/', '/x/y/z'])}" for h in ("a.example.com", "b.example.net", "c.example.org", "d.com") for _ in range(40)]
-    made += [f"http://hot.com/en/v{k}/{k}" for k in range(60)] + [f"http://hot.com/tag{k}/page" for k in range(60)]
+    made += [f"http://{h}/{r.choice(['en', 'de', 'es', 'fr'])}/{r.randrange(999)}{r.choice(['', '.html', '/', '/x/y/z', '/x/y/zz/0/' + 'deep/' * 9])}" for h in ("a.example.com", "b.example.net", "c.example.org", "d.com") for _ in range(60)]
+    made += [f"http://hot.com/en/v{k}/{k}" for k in range(60)] + [f"http://hot.com/tag{k}/page" for k in range(60)] + ["http://hot.com/fr/" + "s/" * 300, "http://hot.com/fr/" + "x" * 20_000]
+    # Branches that only differ in the fourth segment, labelled apart by rules of their own.
+    made += [f"http://four.com/{a}/b/c/{x}/{k}" for a in "uv" for x in ("good", "bad", "new") for k in range(12)]
+    rules = (*urls.RULES, ("four.com", "/u/b/c/good/", "allow"), ("four.com", "/u/b/c/bad/", "block"))
     pages = spark.createDataFrame([(i, u, "x", "y", 3) for i, u in enumerate(made)] + [(0, None, "x", "y", 3)], "page_id long, url string, host string, template string, n int")
-    rows = urls.judge(pages).collect()
+    rows = urls.judge(pages, rules).collect()
     assert len(rows) == len(made) + 1
+    labelled = []
     for x in rows:
         host, path = plain_url(made[x.page_id])
-        fits = [(len(h + p), h + p, v) for h, p, v in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
-        assert (x.host, x.path) == (host, path)
-        assert x.rule == (max(fits)[1] if fits else None)
-        assert x.verdict == (max(fits)[2] if fits else x.verdict) and x.verdict in ("allow", "block")
+        fits = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rule, verdict = max(fits)[1:] if fits else (None, None)
+        assert (x.host, x.path, x.rule) == (host, path, rule)
+        labelled.append((host, [shaped(s) for s in path.split("/") if s], verdict and int(verdict == "block")))
+    for x, (_, _, label), (template, rejected) in zip(rows, labelled, plain_tree(labelled), strict=True):
+        assert x.template == template
+        assert x.verdict == ("block" if (rejected if label is None else label) else "allow")
     by = {x.page_id: x for x in rows}
-    assert by[made.index("http://hot.com/tag7/page")].template == "/*/page"
+    assert by[made.index("http://hot.com/tag7/page")].template == "/+/+"
     assert by[made.index("no scheme")].verdict == "allow"
-    assert urls.judge(pages.limit(0)).count() == 0
+    # What no rule decides is judged by the tree: like its host, but not where the labels differ.
+    assert any(x.verdict == "block" for x in rows if x.rule is None) and any(x.verdict == "allow" for x in rows if x.rule is None)
+    assert {x.template for x in rows if x.host == "four.com" and "/u/b/c/good/" in x.path} == {"/+/+/+/good/+"}
+    assert urls.judge(pages.limit(0), rules).count() == 0
 
 
 # op7
