@@ -4,9 +4,15 @@ Tokens with a digit or an at sign are the nodes.  Each has features of its own s
 next to each other share a chain potential; tokens that repeat or resemble an earlier one of the same document
 (equal last digits, or equal letters around an at sign) share a skip potential with the nearest such one, however
 far away.  Labels are the kinds, or none.  Loopy sum-product message passing over the document's graph lets a
-clear mention carry its label to the unclear ones.  Potentials are learned by pseudo-likelihood from the tokens
-that the exact patterns cover, in a bounded sample of texts (at most ``SAMPLE`` texts and ``SAMPLE_TOKENS`` tokens,
-texts chosen by md5), with some features hidden at random so that the shared potentials are learned as well.
+clear mention carry its label to the unclear ones.
+
+Potentials are learned by pseudo-likelihood from a bounded sample of texts (at most ``SAMPLE`` texts and
+``SAMPLE_TOKENS`` tokens, texts chosen by md5), with some features hidden at random.  Labels come from three sources.
+Tokens in exact spans have their kind, others none; tokens of a match that failed for having too many digits, where
+two data ran into one, have no label.  And since the exact patterns say nothing of what they miss, each sampled span
+is also spelled in a way that they don't match (``spelled``), next to the words around it: behind its clear mention,
+labelled with its kind, and with other digits or letters, labelled none.  So the spelling alone is no evidence, and
+the link to a clear mention is.  Tokens of the given texts that may be data but match no pattern have no label either.
 
 The exact spans always stay.  Runs of neighbouring tokens that the field labels with one kind at ``SURE`` or more
 are added if they keep to the kind's characters and number of digits and overlap no span.
@@ -45,7 +51,11 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 SAMPLE, SAMPLE_TOKENS = 2000, 200_000
 BITS = 14
-SURE = 0.9
+SURE = 0.5
+#: Log-odds of a known label.
+CERTAIN = 30.0
+#: Stands for no label.
+UNKNOWN = 255
 STILL = 1e-5
 N = len(KINDS) + 1
 
@@ -94,15 +104,58 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def run_together(text: str) -> list[tuple[int, int]]:
+    """Matches that have more digits than their kind takes."""
+    found = [m.span() for pattern, most in ((CARD, 19), (PHONE, 15)) for m in pattern.finditer(text) if len(_digits(m[0])) > most]
+    return found if any(d in text for d in "0123456789") else []
+
+
+def spelled(kind: str, span: str) -> str:
+    """``span`` in a form that the exact patterns don't match."""
+    if kind == "email":
+        return span.split("@")[0] + "@" + span.split("@")[1].split(".")[0]
+    if kind == "ip":
+        return span.replace(".", "-")
+    digits = _digits(span)
+    if kind == "card":
+        return ".".join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    return f"{digits[-10:-7]}-{digits[-7:-4]}-{digits[-4:]}".lstrip("-")
+
+
+def _other(span: str) -> str:
+    """Something of the same form."""
+    return "".join(chr((ord(c) - 48 + 3) % 10 + 48) if "0" <= c <= "9" else chr((ord(c) - 97 + 7) % 26 + 97) if "a" <= c <= "z" else c for c in span)
+
+
+def lessons(text: str) -> Iterator[tuple[str, list[tuple[int, int, str]], list[tuple[int, int]] | None]]:
+    """Texts that ``text`` teaches, with their labelled spans, and the places that have no label."""
+    base, silent = base_spans(text), run_together(text)
+    yield text, base, silent
+    if not base:
+        return
+    hidden, made, size, labels = {}, [text], len(text), list(base)
+    alone: list[str] = []
+    for s, e, kind in base:
+        before, after = text[:s].split()[-2:], text[e:].split(maxsplit=2)[:2]
+        form = hidden.setdefault((kind, text[s:e]), spelled(kind, text[s:e]))
+        left = "\n" + "".join(w + " " for w in before)
+        labels.append((size + len(left), size + len(left) + len(form), kind))
+        made += [left, form, "".join(" " + w for w in after)]
+        size += sum(map(len, made[-3:]))
+        alone += [*before, _other(form), *after]
+    yield "".join(made), labels, silent
+    yield " ".join(alone), [], None
+
+
 def _shape(word: str) -> str:
-    word = re.sub(r"[0-9]+", "9", word[:200])
-    return re.sub(r"[A-Z]+", "A", re.sub(r"[a-z]+", "a", word))[:24]
+    word = re.sub(r"[0-9]+", "9", word)
+    return re.sub(r"[A-Z]+", "A", re.sub(r"[a-z]+", "a", word))
 
 
 def _link(word: str) -> str | None:
-    """What repeated or similar tokens have in common."""
+    """What repeated or similar tokens have in common: the last digits, or what stands before an at sign."""
     if "@" in word:
-        return "@" + word.strip(".,;:()<>\"'").lower()
+        return "@" + word.strip(_EDGE).split("@")[0].lower()
     digits = _digits(word)
     return digits[-7:] if len(digits) >= 4 else None
 
@@ -111,7 +164,9 @@ def _feature(name: str, value) -> int:
     return zlib.crc32(f"{name}={value}".encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
 
 
-FEATURES = 10
+FEATURES = 11
+#: Stands around data without being part of it.
+_EDGE = ".,;:()<>\"'"
 
 
 class Graph:
@@ -135,11 +190,11 @@ class Graph:
             if not data(word):
                 continue
             node = len(self.spans)
-            left = text[slice(*words[i - 1])][:40] if i else ""
-            right = text[slice(*words[i + 1])][:40] if i + 1 < len(words) else ""
-            core = word.strip(".,;:()<>\"'")
+            left = text[slice(*words[i - 1])] if i else ""
+            right = text[slice(*words[i + 1])] if i + 1 < len(words) else ""
+            core = word.strip(_EDGE)
             digits = _digits(word)
-            values = ("b", _shape(word), _shape(left), _shape(right), left.lower(), right.lower(), _shape(core), (min(len(digits), 20), "@" in word), word[0], (word.count("."), word.count("-"), "+" in word))
+            values = ("b", _shape(word), _shape(left), _shape(right), left.lower(), right.lower(), _shape(core), (min(len(digits), 20), "@" in word), _shape(word[0]), (word.count("."), word.count("-"), "+" in word), 12 <= len(digits) <= 19 and luhn(digits))
             self.features.append([_feature(str(k), v) for k, v in enumerate(values)])
             self.spans.append((row, s, e))
             if chained := before == i - 1:
@@ -150,10 +205,17 @@ class Graph:
                     self.skip.append((last[key], node))
                 last[key] = node
 
-    def labels(self, spans: dict[int, list[tuple[int, int, str]]]) -> list[int]:
+    def labels(self, text: str, spans: list[tuple[int, int, str]], silent: list[tuple[int, int]] | None) -> list[int]:
+        """Of the nodes of a graph of one text.
+
+        Where patterns gave the spans, they are silent about the places in ``silent`` and about other tokens that
+        may be data (``fits``): those have no label.  Without ``silent`` all that is outside the spans is none.
+        """
         out = []
-        for row, s, e in self.spans:
-            out.append(next((KINDS[k] + 1 for a, b, k in spans.get(row, ()) if a < e and s < b), 0))
+        for _, s, e in self.spans:
+            kind = next((KINDS[k] + 1 for a, b, k in spans if a < e and s < b), 0)
+            unsure = silent is not None and not kind and (any(a < e and s < b for a, b in silent) or fits(text[s:e].strip(_EDGE)))
+            out.append(UNKNOWN if unsure else kind)
         return out
 
 
@@ -163,10 +225,11 @@ class Model:
     def __init__(self):
         self.w, self.chain, self.skip = np.zeros((1 << BITS, N)), np.zeros((N, N)), np.zeros((N, N))
 
-    def fit(self, features: np.ndarray, labels: np.ndarray, chain: np.ndarray, skip: np.ndarray, steps: int = 60, rate: float = 0.5) -> None:
+    def fit(self, features: np.ndarray, labels: np.ndarray, chain: np.ndarray, skip: np.ndarray, steps: int = 120, rate: float = 0.5) -> None:
         """Pseudo-likelihood by AdaGrad; a third of the features of each node is hidden at random in every step."""
         rng, n = np.random.default_rng(7), len(labels)
-        one = np.eye(N)[labels]
+        told = labels != UNKNOWN
+        one = np.eye(N)[np.where(told, labels, 0)] * told[:, None]
         totals = [np.full_like(x, 1e-8) for x in (self.w, self.chain, self.skip)]
         for _ in range(steps):
             shown = rng.random(features.shape) > 1 / 3
@@ -175,7 +238,7 @@ class Model:
                 np.add.at(logits, edges[:, 0], one[edges[:, 1]] @ p.T)
                 np.add.at(logits, edges[:, 1], one[edges[:, 0]] @ p)
             e = np.exp(logits - logits.max(axis=1, keepdims=True))
-            err = e / e.sum(axis=1, keepdims=True) - one
+            err = (e / e.sum(axis=1, keepdims=True) - one) * told[:, None]
             gw = np.zeros_like(self.w)
             for k in range(N):
                 gw[:, k] = np.bincount(features.ravel(), weights=(err[:, k : k + 1] * shown).ravel(), minlength=1 << BITS)
@@ -183,17 +246,22 @@ class Model:
             for edges, p in ((chain, self.chain), (skip, self.skip)):
                 g = err[edges[:, 0]].T @ one[edges[:, 1]] + one[edges[:, 0]].T @ err[edges[:, 1]]
                 grads.append(g / n + 1e-4 * p)
-            for x, g, t in zip((self.w, self.chain, self.skip), grads, totals, strict=True):
+            # A node has many features and few edges, so edges move faster.
+            for x, g, t, pace in zip((self.w, self.chain, self.skip), grads, totals, (rate / 4, rate, rate), strict=True):
                 t += g * g
-                x -= rate * g / np.sqrt(t)
+                x -= pace * g / np.sqrt(t)
 
-    def marginals(self, graph: Graph) -> np.ndarray:
+    def marginals(self, graph: Graph, known: np.ndarray | None = None) -> np.ndarray:
         """Loopy sum-product over the chain and skip edges, damped by half, until messages move by ``STILL`` at most.
 
+        Nodes whose label is ``known`` (0: not known) are evidence.
+
         A round passes on only what has moved.  Should messages of a loop never rest, rounds end when any of them
         could have crossed the largest text several times.
         """
         unary = self.w[np.array(graph.features)].sum(axis=1)
+        if known is not None:
+            unary = np.where(known[:, None] > 0, CERTAIN * np.eye(N)[known], unary)
         a = np.array(graph.chain + graph.skip, np.int64).reshape(-1, 2)
         if len(a):
             pair = np.concatenate([np.repeat(self.chain[None], len(graph.chain), 0), np.repeat(self.skip[None], len(graph.skip), 0)])
@@ -223,11 +291,16 @@ class Model:
 _FIT = {
     1: lambda t: 0 < t.find("@") < len(t) - 1 and " " not in t,
     2: lambda t: bool(re.fullmatch(r"[0-9]{1,3}(?:[.:-][0-9]{1,3}){3}", t)) and all(map(_small, re.findall("[0-9]+", t))),
-    3: lambda t: bool(re.fullmatch(r"[0-9 .-]+", t)) and 12 <= len(_digits(t)) <= 19,
+    3: lambda t: bool(re.fullmatch(r"[0-9 .-]+", t)) and 12 <= len(_digits(t)) <= 19 and luhn(_digits(t)),
     4: lambda t: bool(re.fullmatch(r"[+0-9(][0-9 ().+-]*[0-9]", t)) and 7 <= len(_digits(t)) <= 15,
 }
 
 
+def fits(text: str) -> bool:
+    """Whether a text keeps to the characters and digits of some kind."""
+    return any(fit(text) for fit in _FIT.values())
+
+
 def _added(graph: Graph, p: np.ndarray, texts: list[str], base: dict[int, list]) -> dict[int, list[tuple[int, int, str]]]:
     best = np.where(p.max(axis=1) >= SURE, p.argmax(axis=1), 0)
     near = {b for a, b in graph.chain}
@@ -252,10 +325,29 @@ def find(texts: list[str], model: Model | None) -> tuple[dict[int, list], dict[i
     base = {i: x for i, t in enumerate(texts) if (x := base_spans(t))}
     if model is None:
         return base, {}
-    graph = Graph()
+    graph, known = Graph(), []
     for i, t in enumerate(texts):
+        before = len(graph.spans)
         graph.add(i, t)
-    return base, _added(graph, model.marginals(graph), texts, base) if graph.spans else {}
+        mine = base.get(i, ())
+        known += [next((KINDS[k] + 1 for a, b, k in mine if a < e and s < b), 0) for _, s, e in graph.spans[before:]]
+    return base, _added(graph, model.marginals(graph, np.array(known, np.int64)), texts, base) if graph.spans else {}
+
+
+def _within(graphs: DataFrame) -> list:
+    """The rows of the smallest graphs, up to SAMPLE_TOKENS nodes in all, by key."""
+    small = graphs.select("key", "turn", "n").orderBy("n", "key", "turn").limit(3 * SAMPLE).collect()
+    total, kept = 0, []
+    for r in small:
+        total += r["n"]
+        if total > SAMPLE_TOKENS:
+            break
+        kept.append(r)
+    if not kept:
+        return []
+    last = kept[-1]
+    order = F.struct("n", "key", "turn") <= F.struct(F.lit(last["n"]).alias("n"), F.lit(last["key"]).alias("key"), F.lit(last["turn"]).alias("turn"))
+    return sorted(graphs.where(order).collect(), key=lambda r: (r["key"], r["turn"]))
 
 
 def train(docs: DataFrame) -> Model | None:
@@ -264,22 +356,23 @@ def train(docs: DataFrame) -> Model | None:
     chosen = [r["key"] for r in texts.select("key").distinct().orderBy("key").limit(SAMPLE).collect()]
     if not chosen:
         return None
-    sample = texts.where(F.col("key") <= chosen[-1]).groupBy("key").agg(F.first("text").alias("text")).orderBy("key")
+    sample = texts.where(F.col("key") <= chosen[-1]).groupBy("key").agg(F.first("text").alias("text"))
 
     def graphs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for text in batch["text"]:
-                g = Graph()
-                g.add(0, text)
-                y = g.labels({0: base_spans(text)})
-                yield pd.DataFrame({"f": [np.array(g.features, np.int32).tobytes()], "y": [bytes(y)], "c": [np.array(g.chain, np.int32).tobytes()], "s": [np.array(g.skip, np.int32).tobytes()]})
+            for key, whole in zip(batch["key"], batch["text"], strict=True):
+                for turn, (text, spans, silent) in enumerate(lessons(whole)):
+                    g = Graph()
+                    g.add(0, text)
+                    y = g.labels(text, spans, silent)
+                    yield pd.DataFrame({"key": [key], "turn": [turn], "f": [np.array(g.features, np.int32).tobytes()], "y": [bytes(y)], "c": [np.array(g.chain, np.int32).tobytes()], "s": [np.array(g.skip, np.int32).tobytes()]})
 
     parts: list[list[np.ndarray]] = [[], [], [], []]
     n = 0
-    for r in sample.mapInPandas(graphs, "f binary, y binary, c binary, s binary").toLocalIterator():
+    listed = sample.select("key", "text").mapInPandas(graphs, "key string, turn int, f binary, y binary, c binary, s binary").withColumn("n", F.octet_length("y").cast("long"))
+    # The bound holds before anything is collected: texts with most nodes are left out first, of equal ones the later keys.
+    for r in _within(listed.where("n > 0")):
         y = np.frombuffer(r["y"], np.uint8)
-        if n + len(y) > SAMPLE_TOKENS:
-            continue
         parts[0].append(np.frombuffer(r["f"], np.int32).reshape(-1, FEATURES))
         parts[1].append(y)
         parts[2].append(np.frombuffer(r["c"], np.int32).reshape(-1, 2) + n)
@@ -293,7 +386,7 @@ def train(docs: DataFrame) -> Model | None:
     return model
 
 
-DIGEST = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+DIGEST = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, n_added long"
 
 
 def digest(spark, model: Model | None) -> Column:
@@ -308,8 +401,8 @@ def digest(spark, model: Model | None) -> Column:
             for i in range(len(texts)):
                 mine = base.get(i, [])
                 text = spans_digest(mine, KINDS)
-                rows.append((*(sum(x[2] == k for x in mine) for k in KINDS), hashlib.sha256(text.encode()).hexdigest(), spans_digest(mine + more.get(i, []), KINDS)))
-            yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                rows.append((*(sum(x[2] == k for x in mine) for k in KINDS), hashlib.sha256(text.encode()).hexdigest(), spans_digest(mine + more.get(i, []), KINDS), len(mine) + len(more.get(i, [])), len(more.get(i, []))))
+            yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "n_added"])
 
     return F.pandas_udf(run, DIGEST)(text_or_empty())
 
@@ -320,5 +413,5 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:
-    """Contract of op5 over all of ``documents``."""
+    """Contract of op5 over all of ``documents``; the number of all spans and of those that the field added follow."""
     return find_personal_data(table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -1,8 +1,11 @@
 """op1, op4, op5, op8: operators that look at one text at a time."""
 
 import hashlib
+import math
+import os
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -128,6 +131,46 @@ def test_the_field_carries_a_label_to_a_distant_mention(spark):
     assert 1 not in more
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the given tables")
+def test_the_field_adds_spans_over_a_whole_table(spark):
+    """Each text gets a datum in a spelling that the patterns miss, every other one with its clear mention elsewhere."""
+    r = random.Random(5)
+
+    def fresh(kind):
+        digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+        if kind == "phone":
+            return f"+1 ({r.randrange(200, 999)}) 555-{digits(4)}"
+        if kind == "ip":
+            return ".".join(str(r.randrange(1, 255)) for _ in range(4))
+        if kind == "email":
+            return "".join(r.choice("abcdefgh") for _ in range(5)) + f".{r.randrange(99)}@mail{r.randrange(9)}.example.com"
+        return next(c for c in iter(lambda: "4" + digits(15), None) if pii.luhn(c))
+
+    rows, planted = [], {}
+    for row in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect():
+        kind, words, clear = r.choice(list(pii.KINDS)), (row.text or "").split(" "), row.doc_id % 2 == 0
+        datum = fresh(kind)
+        words.insert(r.randrange(len(words) + 1), pii.spelled(kind, datum))
+        if clear:
+            words.insert(r.randrange(len(words) + 1), datum)
+        rows.append((row.doc_id, " ".join(words)))
+        planted[row.doc_id] = kind, pii.spelled(kind, datum), clear
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {x.doc_id: x for x in pii.find_personal_data(docs).collect()}
+    texts, hits, other = dict(rows), {True: 0, False: 0}, 0
+    for i, (kind, form, clear) in planted.items():
+        spans = [x.split(":") for x in found[i].spans.split(",") if x]
+        mine = sum(k == kind and texts[i][int(s) : int(e)] == form for k, s, e in spans)
+        hits[clear] += mine > 0
+        other += found[i].n_added - mine
+        assert found[i].n_spans == len(spans) and found[i].n_added == len(spans) - len(pii.base_spans(texts[i]))
+    some = len(planted) / 2
+    # A datum of telling form may be taken without its clear mention, but next to nothing that is none.
+    assert hits[True] > 0.8 * some and hits[False] < 0.3 * some and other < 0.01 * len(planted), (hits, other)
+    # Without the field there is none of them.
+    assert not any(pii.find(list(texts.values()), None)[1].values())
+
+
 @pytest.mark.parametrize("first,second", [("+14095558231", "4095558231"), ("ann@x.example", "(ann@x.example)")])
 def test_single_token_mentions_far_apart_are_linked(first, second):
     far, near = pii.Graph(), pii.Graph()
@@ -141,7 +184,7 @@ def test_the_field_carries_a_label_between_single_tokens():
     said = pii.Graph()
     said.add(0, "+14095558231")
     model = pii.Model()
-    model.w[said.features[0], pii.KINDS["phone"] + 1] = 1.0
+    model.w[said.features[0], pii.KINDS["phone"] + 1] = 0.1
     model.skip = 4 * np.eye(pii.N)
     text = f"see +14095558231 {'plain ' * 300} or 4095558231 again"
     base, more = pii.find([text, "or 4095558231 again"], model)
@@ -196,6 +239,34 @@ def test_checksummed_tokens_and_redaction(spark):
     assert secret_scan.scan(documents(spark, [])).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the given tables")
+def test_checksums_decide_over_a_whole_table(spark):
+    """Tokens of each public format, sound and damaged, planted into every text."""
+    import base64
+
+    r, letters = random.Random(2), secret_scan.BASE62
+    rows, want = [], {}
+    for row in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect():
+        body = "".join(r.choice(letters) for _ in range(30))
+        sum_ = secret_scan.base62_crc32(body)
+        head = base64.urlsafe_b64encode(b'{"alg":"HS256"}').decode().rstrip("=")
+        key = base64.b64encode(r.randbytes(48)).decode()
+        sound = [f"ghp_{body}{sum_}", f"{head}.e30.c2ln", f"-----BEGIN PRIVATE KEY-----\n{key}\n-----END PRIVATE KEY-----"]
+        damaged = [f"ghp_{body}{sum_[:-1]}{'0' if sum_[-1] != '0' else '1'}", f"{head[:-3]}x.e30.c2ln", "-----BEGIN PRIVATE KEY-----\nabc\n-----END PRIVATE KEY-----"]
+        k = row.doc_id % 3
+        rows.append((row.doc_id, f"{sound[k]} {row.text or ''} {damaged[k]} "))
+        want[row.doc_id] = (("checksum", "jwt", "pem")[k], 0, len(sound[k]))
+    got = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for x in got:
+        added = [y for y in x.spans.split(",") if y.split(":")[0] not in secret_scan.BASE]
+        assert added == ["{}:{}:{}".format(*want[x.doc_id])] and x.n_added == 1
+
+
+def test_hex_runs_keep_places():
+    for t in ("é" + "ab" * 12 + "𝒳" + "0" * 23 + "G" + "f" * 40, "ABCDEF" * 9, "", "a" * 24, "a" * 23 + "é" + "b" * 24):
+        assert [(s, e) for s, e, _ in secret_scan.Scanner.hex_runs(t)] == [m.span() for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+
+
 def test_ascii_lower_keeps_places():
     for t in ("ABC", "ÀB İ K ſ 𝒳Z", ""):
         assert ascii_lower(t) == "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
@@ -246,3 +317,39 @@ def test_features_do_not_depend_on_pieces(monkeypatch):
     monkeypatch.setattr(toxicity, "PIECE", 500)
     parts = toxicity.features([text, "b"], every)
     assert all((x == y).all() for x, y in zip(whole, parts, strict=True))
+
+
+def plain_features(text):
+    """Hashes of the n-grams of one text, one by one."""
+    whole, out, mask = toxicity._BORDER + text.lower() + toxicity._BORDER, set(), (1 << 64) - 1
+    for n in toxicity.ORDERS:
+        for at in range(len(whole) - max(toxicity.ORDERS)):
+            total = sum((ord(c) + 1) * pow(int(toxicity._STEP), j, 1 << 64) for j, c in enumerate(whole[at : at + n])) & mask
+            out.add((((total ^ (total >> 31)) * int(toxicity._MIX)) & mask) >> (64 - toxicity.BITS))
+    return out
+
+
+def test_features_and_scores_match_plain_ones(spark):
+    texts = ["", "A cat", "Ünïcode 𝒳 straße", prose(60), prose(60, 1), "a cat a cat"]
+    every = np.arange(1 << toxicity.BITS, dtype=np.int64)
+    row, feature = toxicity.features(texts, every)
+    grams = [plain_features(t) for t in texts]
+    assert [set(feature[row == i].tolist()) for i in range(len(texts))] == grams
+    # Log-count ratios, kept features and scores from the definitions.
+    rows = [(i, t) for i, t in enumerate(texts * 6)]
+    labels = [(i, int("cat" in t)) for i, t in rows]
+    docs = documents(spark, [t for _, t in rows])
+    slots, weights, bias = toxicity.train(docs, labelled(spark, labels))
+    seen = [len([1 for _, y in labels if y == c]) for c in (0, 1)]
+    counts = [Counter(g for (_, t), (_, y) in zip(rows, labels, strict=True) if y == c for g in plain_features(t)) for c in (0, 1)]
+    kept = {g for g in set(counts[0]) | set(counts[1]) if 4 <= counts[0][g] + counts[1][g] < sum(seen) and counts[0][g] * seen[1] != counts[1][g] * seen[0]}
+    assert set(np.flatnonzero(slots >= 0).tolist()) == kept
+    # A weight is a ratio times what was fitted, which starts at nothing and grows along the ratio's sign.
+    for g in kept:
+        ratio = math.log((counts[1][g] + 1) / (seen[1] + 2)) - math.log((counts[0][g] + 1) / (seen[0] + 2))
+        assert weights[slots[g]] * 1 >= 0 if ratio > 0 else weights[slots[g]] <= 1e-3 or ratio == 0
+    got = {r.doc_id: r._s for r in toxicity.score_documents(docs.drop("score"), labelled(spark, [(i, y) for i, y in labels]), "_s").collect()}
+    model = toxicity.train(docs, labelled(spark, labels).where(toxicity.fold() != 2))
+    for i, t in rows:
+        z = model[2] + sum(float(model[1][model[0][g]]) for g in plain_features(t) if model[0][g] >= 0)
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), rel=1e-5)
