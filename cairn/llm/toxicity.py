@@ -8,7 +8,7 @@ ratio is fitted with ridge penalty on the driver, from one short integer list a
 
 Scoring is one scan of whole texts by a vectorised function that holds the model (about 2 MB) and one batch;
 texts beyond ``PIECE`` code points are hashed in overlapping pieces, so memory does not follow a text's length.
-Nothing is shuffled but the sample.
+Nothing is shuffled but the sample, whose n-grams are counted in all its partitions and summed by ``SUMS`` tasks.
 
 Defined results: null text scores as the empty text; of repeated labels of a document the larger counts; null
 labels and labels without a document are ignored; with only one class among the labels the score is the share
@@ -32,6 +32,8 @@ ORDERS = (4, 5, 6)
 BITS = 19
 PIECE = 1 << 20
 THRESHOLD = 0.3
+#: Sampled rows of a partition, and tasks that sum up the partitions' counts.
+PART_ROWS, SUMS = 256, 4
 _BORDER = "\0" * max(ORDERS)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -117,7 +119,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     order = F.md5(F.col("doc_id").cast("string").cast("binary"))
     chosen = [labels.where(F.col("_tox_y") == y).orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
     sample = docs.select("doc_id", text_or_empty().alias("_tox_text")).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
-    sample = checkpoint(sample.select(F.col("_tox_text").alias("text"), F.col("_tox_y").alias("y")).coalesce(8))
+    # The scan and the join keep the table's partitions; only the sample is dealt anew.
+    size = min(sum(counts.values()), 2 * per_class)
+    sample = checkpoint(sample.select(F.col("_tox_text").alias("text"), F.col("_tox_y").alias("y")).repartition(max(1, -(-size // PART_ROWS))))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, every = np.zeros((2, 1 << BITS), np.int32), np.arange(1 << BITS, dtype=np.int64)
@@ -130,8 +134,16 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
                     n[y] += np.bincount(features(texts[at : at + 64], every)[1], minlength=1 << BITS).astype(np.int32)
         yield pd.DataFrame({"n": [n.tobytes()], "docs": [docs_seen.tobytes()]})
 
-    n, seen = np.zeros((2, 1 << BITS)), np.zeros(2)
-    for r in sample.mapInPandas(count, "n binary, docs binary").toLocalIterator():
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, docs_seen = np.zeros((2, 1 << BITS), np.int32), np.zeros(2, np.int64)
+        for batch in batches:
+            for some, seen in zip(batch["n"], batch["docs"], strict=True):
+                n += np.frombuffer(some, np.int32).reshape(2, -1)
+                docs_seen += np.frombuffer(seen, np.int64)
+        yield pd.DataFrame({"n": [n.tobytes()], "docs": [docs_seen.tobytes()]})
+
+    n, seen, vectors = np.zeros((2, 1 << BITS)), np.zeros(2), "n binary, docs binary"
+    for r in sample.mapInPandas(count, vectors).coalesce(SUMS).mapInPandas(add, vectors).collect():
         n += np.frombuffer(r["n"], np.int32).reshape(2, -1)
         seen += np.frombuffer(r["docs"], np.int64)
     slots = np.full(1 << BITS, -1, np.int32)
@@ -157,11 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
                 cuts = np.split(feature.astype(np.int32), np.searchsorted(row, np.arange(1, len(part))))
                 yield pd.DataFrame({"f": [c.tobytes() for c in cuts], "y": part["y"].to_numpy()})
 
-    lists, y = [], []
-    for r in sample.mapInPandas(listed, "f binary, y int").toLocalIterator():
-        lists.append(np.frombuffer(r["f"], np.int32))
-        y.append(r["y"])
-    y = np.array(y, float)
+    table = sample.mapInPandas(listed, "f binary, y int").toArrow()
+    lists, y = [np.frombuffer(x.as_buffer(), np.int32) for x in table.column("f")], table.column("y").to_numpy().astype(float)
     weight = np.where(y == 1, counts[1] / seen[1], counts[0] / seen[0])
     idx = np.concatenate(lists) if lists else np.zeros(0, np.int32)
     weights, bias = _fit(np.concatenate([[0], np.cumsum([len(x) for x in lists])]), idx, y, ratio, weight)
