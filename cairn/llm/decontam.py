@@ -4,14 +4,16 @@ The sets to be found are windows of ``WINDOW`` consecutive words of a benchmark
 fewer).  A window must be contained whole, so of its words in order of rarity the necessary prefix is the rarest
 one alone.  Rarity is the words' count over all of ``documents``.  Each document looks up its words among those
 prefix words; at a hit the positional bound (the place of the prefix word within the window) fixes where the
-window would lie, the length bound drops windows that would cross the document's ends, and the word ids there
-are compared exactly.  Words outside the benchmark's vocabulary share one id that no window holds.
+window would lie, the length bound drops windows that would cross the document's ends, and the words there are
+compared exactly.
 
-Scale.  Documents are never shuffled: both passes are scans.  What a task holds is one Arrow batch and one chunk
-of windows.  The benchmark is cut into chunks of at most ``CHUNK_WORDS`` window words, of which each is broadcast
-on its own, so the size of a broadcast is bounded whatever the benchmark's size; with several chunks the
-documents pass from one to the next, carrying what has been found.  Work per word is bounded by the window
-length, not by how often a word or a window occurs.
+Scale.  Windows, counts and prefix words are tables.  Their size is measured first, and decides how documents meet
+them; both ways are exact.  Up to ``BROADCAST_WORDS`` words in all windows, the prefix table is broadcast, documents
+are never shuffled, and work per word is bounded by the window length, not by how often a word or a window occurs.
+Beyond it, a scan of the documents sends each place where a prefix word may stand as the words that the window would
+cover, and those meet the windows in an equi-join on the words themselves.  A filter of ``1 << SLOT_BITS`` bits, whatever
+the benchmark's size, keeps words back that are nobody's prefix; what it lets through wrongly the join drops.  Hits
+are gathered by the text's digest, bounded by the words of one text.
 
 Defined results: null text has no words; an item or document without words matches nothing; equal item ids
 count once; a null item_id is ignored; repeated rows get equal results; empty tables give empty results or
@@ -22,18 +24,22 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import ascii_lower, table, text_or_empty
+from cairn.llm.common import LOWER, UPPER, ascii_lower, checkpoint, table, text_or_empty
 
 WINDOW = 10
-#: Window words held by one broadcast chunk.
-CHUNK_WORDS = 4_000_000
+#: Words of all windows (once for each item that has them) up to which the prefix table is broadcast.
+BROADCAST_WORDS = 1 << 20
+#: Bits of the filter beyond that, and words that a task counts before it sends them on.
+SLOT_BITS, FLUSH = 22, 400_000
 # Fixed value: the contract's word pattern.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -48,52 +54,56 @@ def item_windows(words: list[str], window: int = WINDOW) -> list[tuple[str, ...]
     return [tuple(words[i : i + window]) for i in range(len(words) - window + 1)]
 
 
-def _chunks(items: DataFrame, window: int) -> list[dict[tuple[str, ...], list[str]]]:
-    """Windows with the ids of their items, in chunks of at most CHUNK_WORDS window words, read item by item."""
-    out: list[dict] = [{}]
-    size = 0
-    for row in items.toLocalIterator(prefetchPartitions=False):
-        for w in item_windows(words_of(row["text"]), window):
-            if w not in out[-1]:
-                if size + len(w) > CHUNK_WORDS:
-                    out.append({})
-                    size = 0
-                size += len(w)
-                out[-1][w] = []
-            ids = out[-1][w]
-            if not ids or ids[-1] != row["item_id"]:
-                ids.append(row["item_id"])
-    return out
+def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``window`` (its words, joined by blanks), ``n`` (their number) and ``item_id``, distinct."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i, text in zip(batch["item_id"], batch["text"], strict=True):
+                found = {" ".join(w): len(w) for w in item_windows(words_of(text), window)}
+                yield pd.DataFrame({"window": list(found), "n": list(found.values()), "item_id": i}).astype({"window": object, "n": "int32", "item_id": object})
+
+    return items.mapInPandas(run, "window string, n int, item_id string").distinct()
 
 
-def word_counts(docs: DataFrame, vocabulary: set[str]) -> Counter:
-    """How often each word of ``vocabulary`` occurs in all ``docs``: counted per task, summed by word."""
-    held = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
+def word_counts(docs: DataFrame, vocabulary: set[str] | None) -> DataFrame:
+    """``word, n``: how often each word (of ``vocabulary``, where given) occurs in all ``docs``; counted per task, then by word."""
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary and frozenset(vocabulary))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wanted, n = held.value, Counter()
+        out = lambda: pd.DataFrame({"word": list(n), "n": list(n.values())}).astype({"word": object, "n": "int64"})
         for batch in batches:
             for text in batch["text"]:
-                n.update(w for w in words_of(text) if w in wanted)
-        yield pd.DataFrame({"word": list(n), "n": list(n.values())}).astype({"word": object, "n": "int64"})
+                words = words_of(text)
+                n.update(words if wanted is None else (w for w in words if w in wanted))
+                if len(n) > FLUSH:
+                    yield out()
+                    n.clear()
+        yield out()
 
-    rows = docs.select(text_or_empty().alias("text")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return Counter({r["word"]: r["n"] for r in rows.collect()})
+    return docs.select(text_or_empty().alias("text")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """``window, n, word, place`` of each distinct window: its rarest word, of equally rare ones the first by name and place."""
+    words = windows.select("window", "n").distinct().select("window", "n", F.posexplode(F.split("window", " ", -1)).alias("place", "word"))
+    met = words.join(counts.withColumnRenamed("n", "count"), "word", "left")
+    rarest = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "word", "place")).alias("r")
+    return met.groupBy("window", "n").agg(rarest).select("window", "n", "r.word", "r.place")
 
 
 class Matcher:
-    """One chunk of windows, keyed by (prefix word, its place, length), against one document at a time."""
-
-    def __init__(self, windows: dict[tuple[str, ...], list[str]], counts: Counter):
-        self.ids = {}
-        for w in windows:
-            for x in w:
-                self.ids.setdefault(x, len(self.ids) + 1)
-        self.items = {tuple(self.ids[x] for x in w): ids for w, ids in windows.items()}
-        places: dict[int, set[tuple[int, int]]] = {}
-        for w in windows:
-            at = min(range(len(w)), key=lambda i: (counts.get(w[i], 0), w[i], i))
-            places.setdefault(self.ids[w[at]], set()).add((at, len(w)))
+    """Windows, keyed by (prefix word, its place, length), against one document at a time."""
+
+    def __init__(self, rows: list[tuple[str, str, int, list[str]]]):
+        """``rows`` has (window, prefix word, place, item ids); words outside the windows share the id 0."""
+        self.ids: dict[str, int] = {}
+        self.items, places = {}, {}
+        for window, word, place, items in rows:
+            key = tuple(self.ids.setdefault(x, len(self.ids) + 1) for x in window.split(" "))
+            self.items[key] = items
+            places.setdefault(self.ids[word], set()).add((place, len(key)))
         self.places = {k: sorted(v) for k, v in places.items()}
 
     def match(self, words: list[str], cover: list[tuple[int, int]], items: set[str]) -> None:
@@ -123,41 +133,88 @@ def _covered(cover: list[tuple[int, int]]) -> int:
 FOUND = "n_words long, starts array<long>, ends array<long>, items array<string>"
 
 
-def _pass(held, first: bool):
-    def fresh(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(*held.value)
+def _broadcast_pass(held):
+    @F.pandas_udf(FOUND)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        matcher = Matcher(held.value)
         for texts in batches:
-            yield _rows(matcher, ((t, [], set()) for t in texts))
+            rows = []
+            for text in texts:
+                cover, items = [], set()
+                matcher.match(words := words_of(text), cover, items)
+                cover = sorted(set(cover))
+                rows.append((len(words), [s for s, _ in cover], [e for _, e in cover], sorted(items)))
+            yield pd.DataFrame(rows, columns=["n_words", "starts", "ends", "items"])
 
-    def again(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(*held.value)
-        for texts, had in batches:
-            yield _rows(matcher, ((t, list(zip(s, e, strict=True)), set(i)) for t, s, e, i in zip(texts, had["starts"], had["ends"], had["items"], strict=True)))
+    return run
 
-    return F.pandas_udf(fresh if first else again, FOUND)
 
+def _slot(*key) -> int:
+    return zlib.crc32(" ".join(map(str, key)).encode("utf-8", "surrogatepass")) & ((1 << SLOT_BITS) - 1)
 
-def _rows(matcher: Matcher, rows) -> pd.DataFrame:
-    out = []
-    for text, cover, items in rows:
-        matcher.match(words := words_of(text), cover, items)
-        cover = sorted(set(cover))
-        out.append((len(words), [s for s, _ in cover], [e for _, e in cover], sorted(items)))
-    return pd.DataFrame(out, columns=["n_words", "starts", "ends", "items"])
+
+def _slots(table: DataFrame, *key: str) -> np.ndarray:
+    """One byte a slot: 1 where a row's key falls."""
+    hashed = F.crc32(F.concat_ws(" ", *[F.col(k).cast("string") for k in key]).cast("binary")).bitwiseAND(F.lit((1 << SLOT_BITS) - 1).cast("long"))
+    out = np.zeros(1 << SLOT_BITS, np.uint8)
+    out[table.select(hashed.cast("int").alias("s")).distinct().toArrow().column("s").to_numpy()] = 1
+    return out
+
+
+def _candidates(docs: DataFrame, prefix: DataFrame) -> DataFrame:
+    """``key, start, n, window``: the words of each place of a text (by its digest) where a window may lie."""
+    sc = docs.sparkSession.sparkContext
+    shapes = sorted((r["place"], r["n"]) for r in prefix.select("place", "n").distinct().collect())
+    held = sc.broadcast((np.packbits(_slots(prefix, "word")), np.packbits(_slots(prefix, "word", "place", "n")), shapes))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words_in, places_in, shapes = np.unpackbits(held.value[0]), np.unpackbits(held.value[1]), held.value[2]
+        for batch in batches:
+            for key, text in zip(batch["key"], batch["text"], strict=True):
+                words, rows = words_of(text), []
+                for at in np.flatnonzero(words_in[[_slot(w) for w in words]]).tolist() if words else ():
+                    for place, n in shapes:
+                        start = at - place
+                        if start >= 0 and start + n <= len(words) and places_in[_slot(words[at], place, n)]:
+                            rows.append((key, start, n, " ".join(words[start : start + n])))
+                if rows:
+                    yield pd.DataFrame(rows, columns=["key", "start", "n", "window"])
+
+    return docs.mapInPandas(run, "key string, start long, n long, window string")
+
+
+def _joined_pass(docs: DataFrame, windows: DataFrame, prefix: DataFrame, column: str) -> DataFrame:
+    text = text_or_empty()
+    key = F.sha2(text.cast("binary"), 256)
+    hits = _candidates(docs.select(key.alias("key"), text.alias("text")), prefix).join(windows.select("window", "item_id"), "window")
+    places = F.array_sort(F.collect_set(F.struct(F.col("start"), (F.col("start") + F.col("n")).alias("end"))))
+    found = checkpoint(hits.groupBy("key").agg(places.alias("_p"), F.array_sort(F.collect_set("item_id")).alias("_i")).withColumnRenamed("key", f"{column}_key"))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    n_words = F.regexp_count(F.translate(text, UPPER, LOWER), F.lit(WORD.pattern)).cast("long")
+    value = F.struct(
+        n_words.alias("n_words"), F.coalesce(F.transform("_p", lambda x: x["start"]), none("long")).alias("starts"),
+        F.coalesce(F.transform("_p", lambda x: x["end"]), none("long")).alias("ends"), F.coalesce("_i", none("string")).alias("items"),
+    )
+    out = docs.withColumn(column, key).join(found, F.col(column) == F.col(f"{column}_key"), "left")
+    return out.withColumn(column, value).select(*docs.columns, column)
 
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, column: str, window: int = WINDOW) -> DataFrame:
     """``docs`` plus ``column``: a struct of the number of words, the found windows' starts and ends, the item ids."""
     items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), text_or_empty().alias("text"))
-    chunks = _chunks(items, window)
-    sc = docs.sparkSession.sparkContext
-    counts = word_counts(docs, {x for c in chunks for w in c for x in w}) if any(chunks) else Counter()
-    for k, chunk in enumerate(chunks):
-        near = Counter({x: counts[x] for w in chunk for x in w if x in counts})
-        run = _pass(sc.broadcast((chunk, near)), k == 0)
-        text = text_or_empty()
-        docs = docs.withColumn(column, run(text) if k == 0 else run(text, F.col(column)))
-    return docs
+    windows = checkpoint(windows_of(items, window))
+    size = windows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    small = size <= BROADCAST_WORDS
+    if not small:
+        prefix = checkpoint(prefixes(windows, word_counts(docs, None)))
+        return _joined_pass(docs, windows, prefix, column)
+    vocabulary = {r["word"] for r in windows.select(F.explode(F.split("window", " ", -1)).alias("word")).distinct().collect()}
+    prefix = prefixes(windows, word_counts(docs, vocabulary)) if vocabulary else None
+    rows = []
+    if prefix is not None:
+        ids = windows.groupBy("window").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+        rows = [tuple(r) for r in prefix.join(ids, "window").select("window", "word", "place", "items").collect()]
+    return docs.withColumn(column, _broadcast_pass(docs.sparkSession.sparkContext.broadcast(rows))(text_or_empty()))
 
 
 DIGEST = "n_hit long, n_items long, items_sha256 string, contaminated boolean"

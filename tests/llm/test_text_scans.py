@@ -38,9 +38,9 @@ def plain_windows(text, items, window=10):
     return len(words), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)
 
 
-@pytest.mark.parametrize("chunk", [4_000_000, 25])
-def test_windows_match_a_plain_search(spark, monkeypatch, chunk):
-    monkeypatch.setattr(decontam, "CHUNK_WORDS", chunk)
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_windows_match_a_plain_search(spark, monkeypatch, most):
+    monkeypatch.setattr(decontam, "BROADCAST_WORDS", most)
     r = random.Random(1)
     items = [(i, prose(r.choice([1, 3, 10, 11, 25]), i, 60)) for i in range(12)] + [(3, prose(12, 99)), (None, "word"), (50, None), (51, "..."), (52, "Word")]
     body = {i: t for i, t in items}
@@ -56,7 +56,17 @@ def test_windows_match_a_plain_search(spark, monkeypatch, chunk):
     assert {r.doc_id for r in kept.collect()} == {i for i, t in enumerate(texts) if not plain_windows(t, items)[4]}
 
 
-def test_windows_of_empty_tables(spark):
+def test_the_prefix_is_the_rarest_word(spark):
+    items = spark.createDataFrame([("a", "x y z z"), ("b", "q x")], "item_id string, text string")
+    counts = decontam.word_counts(documents(spark, ["x x x y y z Z", "x. new"]), None)
+    assert {(r.word, r.n) for r in counts.collect()} == {("x", 4), ("y", 2), ("z", 2), ("new", 1)}
+    got = decontam.prefixes(decontam.windows_of(items), counts).collect()
+    assert {tuple(r) for r in got} == {("x y z z", 4, "y", 1), ("q x", 2, "q", 0)}
+
+
+@pytest.mark.parametrize("most", [1 << 20, -1])
+def test_windows_of_empty_tables(spark, monkeypatch, most):
+    monkeypatch.setattr(decontam, "BROADCAST_WORDS", most)
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.drop_contaminated(documents(spark, awkward()), none).count() == len(awkward())
     assert decontam.drop_contaminated(documents(spark, []), none).count() == 0
