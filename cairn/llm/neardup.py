@@ -3,13 +3,14 @@
 A text is the multiset of its five-word shingles.  Texts whose weighted Jaccard similarity (shared counts over all
 counts) is ``SIMILARITY`` or more are linked, equal texts always are, and a class is a connected component.
 
-1. Equal texts become one node (by md5).  A scan computes each node's signature of ``K`` darts; ``BANDS`` bands
+1. Equal texts become one node (by SHA-256).  A scan computes each node's signature of ``K`` darts; ``BANDS`` bands
    of ``ROWS`` darts each make its buckets.  At similarity 0.8 a pair misses all buckets with probability 3e-6.
 2. In each bucket every member is compared with the bucket's least member only, so that a bucket of m members
    gives m - 1 candidates.  Candidates are verified on the exact shingle counts, and verified ones joined.
-3. Buckets that still hold more than one component may hide links between members other than the least.  They
-   are cut into blocks of bounded bytes; each pair of blocks is one group, in which members of different
-   components are compared by signature, verified exactly where the signatures don't rule it out (agreement below
+3. Buckets that still hold more than one component may hide links between members other than the least.  Members of
+   one component need no comparison, so the largest component of a bucket is cut into pieces, each of which goes to
+   the blocks of the other members, and only those meet each other as well.  Blocks and pieces have bounded bytes;
+   each pair is one group, in which members of different components are compared by signature, verified exactly where the signatures don't rule it out (agreement below
    ``MAYBE`` has probability under 1e-6 at 0.8), and only a spanning forest of the found links is returned.
 
 Scale.  Shuffled rows are one node, its bands, and the shingle counts of nodes that share a bucket; text is
@@ -40,7 +41,8 @@ SIMILARITY = 0.8
 ROWS, BANDS = 4, 24
 K = ROWS * BANDS
 MAYBE = 0.58
-BLOCK_BYTES = 8 << 20
+#: Bytes of a block of a bucket's members, and of a piece of its largest component.
+BLOCK_BYTES, PIECE_BYTES = 8 << 20, 1 << 20
 
 
 def _sign(texts: pd.Series) -> pd.DataFrame:
@@ -79,7 +81,7 @@ def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _key():
-    return F.md5(text_or_empty().cast("binary"))
+    return F.sha2(text_or_empty().cast("binary"), 256)
 
 
 def _nodes(docs: DataFrame, n: int) -> DataFrame:
@@ -186,11 +188,16 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     open_ = checkpoint(compact(open_, n))
     # Blocks are laid out on narrow rows; signatures and counts join last.
     inside = placed.join(open_, "bucket")
-    sizes = counts.select("id", F.octet_length("counts").alias("w"))
-    weights = checkpoint(compact(inside.join(sizes, "id").groupBy("bucket").agg(F.ceil(F.sum(F.col("w") + K) / F.lit(BLOCK_BYTES)).alias("blocks")), n))
-    inside = inside.join(weights, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    inside = inside.select("bucket", "id", "component", "block", other)
+    sizes = counts.select("id", (F.octet_length("counts") + K).alias("w"))
+    parts = inside.join(sizes, "id").groupBy("bucket", "component").agg(F.sum("w").alias("w"))
+    parts = parts.groupBy("bucket").agg(F.max(F.struct("w", "component")).alias("top"), F.sum("w").alias("w"))
+    few = F.greatest(F.lit(1), F.ceil((F.col("w") - F.col("top.w")) / F.lit(BLOCK_BYTES)))
+    parts = checkpoint(compact(parts.select("bucket", F.col("top.component").alias("largest"), few.alias("few"), F.ceil(F.col("top.w") / F.lit(PIECE_BYTES)).alias("many")), n))
+    inside = inside.join(parts, "bucket").withColumn("is_large", F.col("component") == F.col("largest"))
+    at = F.xxhash64("id")
+    inside = inside.withColumn("block", F.when(F.col("is_large"), F.col("few") + F.pmod(at, F.col("many"))).otherwise(F.pmod(at, F.col("few"))))
+    others = F.when(F.col("is_large"), F.col("few")).otherwise(F.col("few") + F.col("many"))
+    inside = inside.select("bucket", "id", "component", "block", F.explode(F.sequence(F.lit(0).cast("long"), others - 1)).alias("other"))
     inside = checkpoint(compact(inside.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "block"), n))
     full = inside.join(nodes.select("id", "sig").join(counts, "id"), "id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     more = full.mapInPandas(_within(similarity), "a long, b long")

@@ -337,6 +337,7 @@ def family(seed=0):
 @pytest.mark.parametrize("block", [8 << 20, 6000])
 def test_near_duplicates_match_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(neardup, "BLOCK_BYTES", block)
+    monkeypatch.setattr(neardup, "PIECE_BYTES", block // 2)
     texts = family() + awkward() + ["x y", "x y", "X, y!", None]
     ids = [None if k == len(texts) - 1 else (k * 7) % 101 for k in range(len(texts))]
     got = neardup.near_duplicates(documents(spark, texts, ids).repartition(3))
@@ -365,6 +366,8 @@ def test_keep_first(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
     assert neardup.keep_first(documents(spark, [])).count() == 0
     assert neardup.keep_first(documents(spark, ["a", "a"], [None, None])).count() == 1
+    # Several texts of one id are classes of their own.
+    assert sorted(r.text for r in neardup.keep_first(documents(spark, ["a b", "c d", "a b"], [4, 4, 9])).collect()) == ["a b", "c d"]
 
 
 def test_signatures_estimate_weighted_similarity():
