@@ -19,8 +19,9 @@ that keeps equal ``LENGTH``-byte prefixes together, and only those that can repe
 
 Frequent anchors, such as those at the ends of a passage that many documents share, have about as many distinct
 contexts as documents, which must not meet in one task.  A sample of the texts names them (it steers the dealing,
-not the result); each window around them is dealt by its own 96-bit hash, and equal windows of a batch are sent
-once, so a passage of any number of documents costs one row a batch.  An anchor that the sample missed and whose
+not the result); each window around them is dealt by its own hash and sent as its bytes, and equal windows of a batch
+are sent once, so a passage of any number of documents costs one window a batch.  Hashes only deal and sort: what
+counts as equal has been compared byte by byte (equal texts by SHA-256).  An anchor that the sample missed and whose
 distinct contexts exceed one text is compared column by column (the windows at one distance from it, sorted by hash
 and verified byte by byte), which needs memory for its contexts only.
 
@@ -99,18 +100,14 @@ def _power(n: int) -> np.uint64:
 
 
 _INVERSE = np.array([pow(0x5851F42D4C957F2D, -j, 1 << 64) for j in range(_BACK + 1)], np.uint64)
-_SECOND = mix(_VALUE + _U(0xD1B54A32D192ED03))
 
 
-def _window_hashes(context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of the LENGTH bytes from each of the first starts of each context."""
-    out = []
+def _window_hashes(context: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the LENGTH bytes from each of the first starts of each context."""
     with np.errstate(over="ignore"):
-        for value in (_VALUE, _SECOND):
-            sums = np.zeros((len(context), _WIDE + 1), np.uint64)
-            np.cumsum(value[context] * _FACTOR[None, :], axis=1, out=sums[:, 1:])
-            out.append(mix((sums[:, LENGTH : LENGTH + _BACK + 1] - sums[:, : _BACK + 1]) * _INVERSE[None, :]))
-    return out[0], out[1]
+        sums = np.zeros((len(context), _WIDE + 1), np.uint64)
+        np.cumsum(_VALUE[context] * _FACTOR[None, :], axis=1, out=sums[:, 1:])
+        return mix((sums[:, LENGTH : LENGTH + _BACK + 1] - sums[:, : _BACK + 1]) * _INVERSE[None, :])
 
 
 def _row_hashes(rows: np.ndarray) -> np.ndarray:
@@ -228,7 +225,7 @@ ANCHORS = pa.schema([("bucket", pa.int64()), ("known", pa.bool_()), ("units", pa
 ANCHORS_DDL = "bucket long, known boolean, units binary, ids binary, n binary, place binary, hash binary"
 #: Places of repeated anchors in a unit.
 PLACES = pa.schema([("unit", pa.int64()), ("places", pa.binary())])
-#: Of a batch in one bucket: contexts, runs to be removed, or windows by their hashes.
+#: Of a batch in one bucket: contexts, runs to be removed, or windows.
 AS_CONTEXTS, AS_RUNS, AS_WINDOWS = 0, 1, 2
 CONTEXTS = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("units", pa.binary()), ("ids", pa.binary()), ("n", pa.binary()), ("place", pa.binary()), ("context", pa.binary())])
 CONTEXTS_DDL = "bucket long, kind int, units binary, ids binary, n binary, place binary, context binary"
@@ -338,15 +335,34 @@ def _run_rows(unit: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tu
     return out
 
 
+def _equal(order: np.ndarray, new: np.ndarray, rows, extra: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of places ordered by hash and ``extra``, ``new`` where the hash changes: an order in which equal rows are
+    neighbours, and where groups of them start.
+
+    Rows of equal hash are compared byte by byte (``rows`` gives the bytes of places); should some differ, their bytes
+    take part in the order.
+    """
+    clash = np.zeros(len(order), bool)
+    for s in range(1, len(order), 1 << 15):
+        same = s + np.flatnonzero(~new[s : s + (1 << 15)])
+        clash[same] = (rows(order[same]) != rows(order[same - 1])).any(axis=1)
+    if clash.any():
+        group = np.cumsum(new) - 1
+        for g in np.unique(group[clash]).tolist():
+            mine = np.flatnonzero(group == g)
+            ranked = sorted((rows(order[k : k + 1]).tobytes(), int(extra[order[k]]), int(order[k])) for k in mine)
+            order[mine] = [x for _, _, x in ranked]
+            new[mine] = [k == 0 or ranked[k][0] != ranked[k - 1][0] for k in range(len(ranked))]
+    return order, new
+
+
 def _equal_rows(first: np.ndarray, rows: np.ndarray, extra: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by (first, row, extra), and whether each place starts a group of equal (first, row)."""
-    order = np.lexsort((extra, _row_hashes(rows), first))
+    h = _row_hashes(rows)
+    order = np.lexsort((extra, h, first))
     new = np.ones(len(order), bool)
-    if len(order) > 1:
-        for at in range(1, len(order), 1 << 16):
-            a, b = order[at : at + (1 << 16)], order[at - 1 : min(at - 1 + (1 << 16), len(order) - 1)]
-            new[at : at + len(a)] = (first[a] != first[b]) | (rows[a] != rows[b]).any(axis=1)
-    return order, new
+    new[1:] = (first[order[1:]] != first[order[:-1]]) | (h[order[1:]] != h[order[:-1]])
+    return _equal(order, new, lambda i: rows[i], extra)
 
 
 def _count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,26 +388,27 @@ def frequent_anchors(texts: DataFrame) -> np.ndarray:
 
 
 def _hot_windows(context, unit, ident, place, row, buckets: int) -> list[tuple]:
-    """Windows around frequent anchors: of equal ones those of the smallest document are sent on, by their hashes,
+    """Windows around frequent anchors: of equal ones those of the smallest document are sent on, dealt by their hash,
     and those of others are settled."""
-    first, second = _window_hashes(context)
+    first = _window_hashes(context)
     inside = context != _PAD
     lo, hi = inside.argmax(axis=1), _WIDE - inside[:, ::-1].argmax(axis=1)
     offset = np.arange(_BACK + 1)
     r, o = np.nonzero((offset[None, :] >= lo[:, None]) & (offset[None, :] + LENGTH <= hi[:, None]))
     if not len(r):
         return []
-    h1, h2, start, row = first[r, o], second[r, o], place[r] - _BACK + o, row[r]
+    start, row = place[r] - _BACK + o, row[r]
     # A window around two frequent anchors is one window.
     once = np.unique((row.astype(np.int64) << 32) | start, return_index=True)[1]
-    h1, h2, start, row = h1[once], h2[once], start[once], row[once]
-    who = ident[row]
-    order = np.lexsort((who, h2, h1))
-    h1, h2, who, start, row = (x[order] for x in (h1, h2, who, start, row))
-    new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+    h, at, start, row = first[r, o][once], (r[once], o[once]), start[once], row[once]
+    who, windows = ident[row], np.lib.stride_tricks.sliding_window_view(context, LENGTH, axis=1)
+    order = np.lexsort((who, h))
+    new = np.concatenate([[True], h[order[1:]] != h[order[:-1]]])
+    order, new = _equal(order, new, lambda i: windows[at[0][i], at[1][i]], who)
+    h, who, start, row, at = h[order], who[order], start[order], row[order], (at[0][order], at[1][order])
     least = who[np.flatnonzero(new)][np.cumsum(new) - 1]
     settled = who > least
-    target = np.where(settled, unit[row] % buckets, (h1 % _U(buckets)).astype(np.int64))
+    target = np.where(settled, unit[row] % buckets, (h % _U(buckets)).astype(np.int64))
     by = np.lexsort((start, row, target, settled))
     out = []
     for s, e in _cuts(settled[by], target[by]):
@@ -402,7 +419,7 @@ def _hot_windows(context, unit, ident, place, row, buckets: int) -> list[tuple]:
             tail = np.append(head[1:], len(i)) - 1
             out.append((int(target[i[0]]), AS_RUNS, *_per_unit(unit, ident, row[i[head]]), _planes(start[i[head]]), _planes(start[i[tail]] + LENGTH)))
         else:
-            out.append((int(target[i[0]]), AS_WINDOWS, *_per_unit(unit, ident, row[i]), _planes(start[i]), h1[i].tobytes() + h2[i].astype(np.uint32).tobytes()))
+            out.append((int(target[i[0]]), AS_WINDOWS, *_per_unit(unit, ident, row[i]), _planes(start[i]), windows[at[0][i], at[1][i]].tobytes()))
     return out
 
 
@@ -485,9 +502,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in rows:
             unit, ident, place = _entries(r)
             if r["kind"] == AS_WINDOWS:
-                n = len(unit)
-                h = np.stack([np.frombuffer(r["context"], np.uint64, n), np.frombuffer(r["context"], np.uint32, n, 8 * n).astype(np.uint64)], axis=1)
-                windows.append((unit, ident, place.astype(np.int64), h))
+                windows.append((unit, ident, place.astype(np.int64), np.frombuffer(r["context"], np.uint8).reshape(-1, LENGTH)))
             elif r["kind"] == AS_RUNS:
                 runs.append((unit, place.astype(np.int64), _from_planes(r["context"]).astype(np.int64)))
             else:
@@ -496,9 +511,8 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unit, ident, place, context = (np.concatenate(x) for x in zip(*parts, strict=True))
             runs += _settled(unit, ident, place, context)
         if windows:
-            unit, ident, place, h = (np.concatenate(x) for x in zip(*windows, strict=True))
-            order = np.lexsort((h[:, 1], h[:, 0]))
-            new = np.concatenate([[True], (h[order[1:]] != h[order[:-1]]).any(axis=1)])
+            unit, ident, place, window = (np.concatenate(x) for x in zip(*windows, strict=True))
+            order, new = _equal_rows(np.zeros(len(unit), np.int64), window, ident)
             least = np.minimum.reduceat(ident[order], np.flatnonzero(new))[np.cumsum(new) - 1]
             gone = order[ident[order] > least]
             runs.append((unit[gone], place[gone], place[gone] + LENGTH))
@@ -597,7 +611,7 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     With ``keep_bytes`` the remaining bytes follow as ``kept``.
     """
     body = text_or_empty().cast("binary")
-    docs = docs.select("doc_id", body.alias("text"), F.md5(body).alias("key"))
+    docs = docs.select("doc_id", body.alias("text"), F.sha2(body, 256).alias("key"))
     slim = docs.select("key", F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("id"), F.octet_length("text").alias("n"))
     units = slim.groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n"))
     units = checkpoint(units.select(F.col("key").alias("k"), "id", "n", F.monotonically_increasing_id().alias("unit")))
@@ -630,18 +644,23 @@ def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+# Texts are cut into pieces that overlap by a window, so that taking a window from a piece doesn't walk through the text.
 OP10_SQL = """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-p AS (SELECT rid, doc_id, x, unnest(range(1, length(x) + 1, 2)) AS i FROM d),
-w AS (SELECT rid, doc_id, i, CASE WHEN i + 99 <= length(x) THEN md5(substr(x, i, 100)) END AS h, substr(x, i, 2) AS b FROM p),
+c AS (SELECT rid, doc_id, k, substr(x, k * 1024 + 1, 1024 + 98) AS y, least(1024, length(x) - k * 1024) AS own FROM (SELECT *, unnest(range(0, (length(x) + 1023) // 1024)) AS k FROM d)),
+w AS (
+  SELECT rid, doc_id, k * 512 + p AS i, CASE WHEN 2 * p + 100 <= length(y) THEN md5(substr(y, 2 * p + 1, 100)) END AS h
+  FROM (SELECT *, unnest(range(0, own // 2)) AS p FROM c)),
 m AS (SELECT h, min(doc_id) AS least FROM w WHERE h IS NOT NULL GROUP BY h),
-r AS (SELECT w.rid, w.i, w.b, coalesce(m.least < coalesce(w.doc_id, 9223372036854775807), false) AS hit FROM w LEFT JOIN m ON w.h = m.h),
-c AS (SELECT rid, i, b, max(CAST(hit AS INTEGER)) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) = 1 AS gone FROM r),
-s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY rid ORDER BY i), false) AS opens FROM c),
-g AS (
-  SELECT rid, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, coalesce(string_agg(b, '' ORDER BY i) FILTER (NOT gone), '') AS kept
-  FROM s GROUP BY rid)
-SELECT d.doc_id, CAST(length(d.x) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
-       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
-FROM d LEFT JOIN g USING (rid)
+r AS (SELECT w.rid, w.i FROM w JOIN m USING (h) WHERE m.least < coalesce(w.doc_id, 9223372036854775807)),
+e AS (SELECT rid, i, coalesce(i > lag(i) OVER (PARTITION BY rid ORDER BY i) + 50, true) AS opens FROM r),
+s AS (SELECT rid, i, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY rid ORDER BY i) AS span FROM e),
+g AS (SELECT rid, span, min(i) AS b, max(i) + 50 AS z FROM s GROUP BY ALL),
+n AS (SELECT rid, CAST(sum(z - b) AS BIGINT) AS n_removed, count(*) AS n_spans, list(b ORDER BY b) AS bs, list(z ORDER BY b) AS zs FROM g GROUP BY rid),
+k AS (
+  SELECT d.doc_id, d.x, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+         list_transform(range(0, coalesce(n_spans, 0) + 1), lambda j: substr(x, CAST(2 * coalesce(zs[j], 0) + 1 AS BIGINT), CAST(2 * (coalesce(bs[j + 1], length(x) // 2) - coalesce(zs[j], 0)) AS BIGINT))) AS kept
+  FROM d LEFT JOIN n USING (rid))
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans, sha256(unhex(array_to_string(kept, ''))) AS kept_sha256
+FROM k
 """
