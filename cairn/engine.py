@@ -13,6 +13,7 @@ from cairn.config import Config, project_id
 from cairn.operators import graph, merge, scan, search, state
 from cairn.operators.materialise import materialise
 from cairn.sources import files as trees
+from cairn.sources import live
 from cairn.sources.generations import Store
 
 # States, and bounds of what is shown and asked.
@@ -35,6 +36,7 @@ class Engine:
         self.overlay: DataFrame | None = None
         self.pending: list[str] = []
         self.freshness, self.generation, self.head = "stale", 0, "no-head"
+        self.content, self.content_version = None, 0
 
     def _timed(self, name: str, work):
         start = time.monotonic()
@@ -90,9 +92,12 @@ class Engine:
         return self.generation
 
     def _serve(self, files: DataFrame) -> None:
-        if self.index is not None:
-            self.index.postings.unpersist()
+        """Serves ``files``; where their content is what is served already, the index and its version stand."""
+        content = files.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), *files.columns)).alias("x")).first()
+        if self.index is not None and content == self.content:
+            return
         self.index = self._timed("searchIndexBuild", lambda: search.build_index(files))
+        self.content, self.content_version = content, self.content_version + 1
 
     def apply(self, changes: DataFrame) -> None:
         """Changes (path, event, seq): the newest of each path is read again, or removed; other files stay as they are."""
@@ -144,7 +149,15 @@ class Engine:
         """The answer as JSON within the configured bytes."""
         rows = [r.asDict(recursive=True) for r in self.search(query, limit).collect()]
         evidence = [r.asDict() for r in self.evidence(query).collect()] if self.index is not None and self.freshness == "stale" else []
-        return merge.bound_payload({"query": query, "freshness": self.freshness, "head": self.head, "results": rows, "evidence": evidence, "pendingPaths": self.pending}, self.config.searchMaxBytes)
+        diff = live.git_diff(self.root) if self.use_git and self.freshness == "stale" else ""
+        return merge.bound_payload({"query": query, "freshness": self.freshness, "head": self.head, "results": rows, "evidence": evidence, "diff": diff, "pendingPaths": self.pending}, self.config.searchMaxBytes)
+
+    def excerpt(self, path: str) -> str | None:
+        """The start of a file of a local tree as it is now, or None where it may not be shown."""
+        try:
+            return live.excerpt(self.root, path)
+        except (live.Refused, OSError):
+            return None
 
     def graph(self) -> graph.Graph:
         return graph.build_graph(self.index.files)
@@ -179,6 +192,4 @@ class Engine:
         return self.spark.createDataFrame(checks, "check string, ok boolean, detail string")
 
     def close(self) -> None:
-        if self.index is not None:
-            self.index.postings.unpersist()
-        self.index, self.lifecycle = None, "dormant"
+        self.index, self.content, self.lifecycle = None, None, "dormant"

@@ -86,6 +86,11 @@ class Assembly:
     work: DataFrame  # workKind, sourceFileId, path, referenceId, language, raw, static, wildcard, evidenceId
 
 
+def occurrence(order: str, *descriptor: str) -> Column:
+    """Equal descriptors count up in recorded order."""
+    return F.row_number().over(Window.partitionBy(*descriptor).orderBy(order))
+
+
 def assemble(files: DataFrame) -> Assembly:
     """Nodes, references, evidence and edges that need no resolving, from a file table."""
     files = files.withColumn("fileId", file_id(F.col("path")))
@@ -104,8 +109,7 @@ def assemble(files: DataFrame) -> Assembly:
 
     symbols = _each(files, "symbols")
     symbols = _with_evidence(symbols, "symbol", _symbol_row(F.col("r"))).withColumn("container", F.when(F.col("language") == "java", F.col("r.container")))
-    same = Window.partitionBy("fileId", "language", "r.kind", "container", "r.name", "r.signature").orderBy("ordinal")
-    symbols = symbols.withColumn("occurrence", F.row_number().over(same))
+    symbols = symbols.withColumn("occurrence", occurrence("ordinal", "fileId", "language", "r.kind", "container", "r.name", "r.signature"))
     descriptor = F.struct(
         F.col("container"), F.col("fileId"), F.col("language"), F.col("r.name").alias("name"), F.col("occurrence").alias("occurrenceOrdinal"),
         F.col("r.signature").alias("signature"), F.col("r.kind").alias("symbolKind"),
@@ -200,10 +204,9 @@ def relative_candidates(specifiers: DataFrame, files: DataFrame, keys: list[str]
     base = P.resolve_relative("path", "raw")
     asked = specifiers.select(*keys, F.explode(probes(base, F.col("raw"))).alias("p")).select(*keys, F.col("p.path").alias("_probe"), "p.precedence", "p.rule")
     met = asked.join(files.select(F.col("path").alias("_probe"), "id"), "_probe").drop("_probe")
-    literal = met.where(F.col("precedence") == 0).select(*[F.col(k).alias(f"_l_{k}") for k in keys]).distinct()
-    substituted = F.col("rule") == "tsjs-js-family-substitution"
-    same = [F.col(k).eqNullSafe(F.col(f"_l_{k}")) for k in keys]
-    return met.where(~substituted).unionByName(met.where(substituted).join(literal, same, "left_anti"))
+    # A key has no more rows than probes.
+    best = F.min("precedence").over(Window.partitionBy(*keys))
+    return met.withColumn("_best", best).where((F.col("rule") != "tsjs-js-family-substitution") | (F.col("_best") != 0)).drop("_best")
 
 
 def decide(candidates: DataFrame, keys: list[str], keep: int = schema.CANDIDATES_KEPT) -> DataFrame:
@@ -211,7 +214,7 @@ def decide(candidates: DataFrame, keys: list[str], keep: int = schema.CANDIDATES
 
     ``status`` is exact (precedence 0), heuristic or unresolved; an unresolved row's ``tie`` is its precedence.
     """
-    distinct = candidates.select(*keys, "precedence", "rule", "id").distinct()
+    distinct = materialise(candidates.select(*keys, "precedence", "rule", "id").distinct())
     # Precedences are reduced first, then keys: a key of any number of candidates is combined before each shuffle.
     ranks = distinct.groupBy(*keys, "precedence").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("rule").alias("rule"), F.count("*").alias("n"))
     best = ranks.groupBy(*keys).agg(F.min(F.struct("precedence", "lo", "hi", "rule")).alias("_b"), F.sum("n").alias("_n"))
@@ -367,14 +370,20 @@ def build_graph(files: DataFrame) -> Graph:
     return Graph(a.files.orderBy("id"), a.symbols.orderBy("id"), external_modules(a.work).orderBy("id"), a.references.orderBy("id"), edges)
 
 
+def missing_ends(edges: DataFrame, end: str, nodes: DataFrame) -> DataFrame:
+    """The rows of ``edges`` whose ``end`` is set but not the ``id`` of a node."""
+    ids = nodes.select(F.col("id").alias("_end"))
+    return edges.where(F.col(end).isNotNull()).join(ids, F.col(end) == F.col("_end"), "left_anti")
+
+
 def violations(graph: Graph) -> DataFrame:
     """``check, id`` of all rows that break an integrity rule: a good graph has none."""
     nodes = graph.files.select("id").union(graph.symbols.select("id")).union(graph.externalModules.select("id"))
     edges = graph.edges
     out = [
-        edges.join(nodes, edges["sourceId"] == nodes["id"], "left_anti").select(F.lit("source-missing").alias("check"), "id"),
-        edges.where(F.col("targetId").isNotNull()).join(nodes, edges["targetId"] == nodes["id"], "left_anti").select(F.lit("target-missing"), "id"),
-        edges.where(F.col("referenceId").isNotNull()).join(graph.references.select(F.col("id").alias("_r")), F.col("referenceId") == F.col("_r"), "left_anti").select(F.lit("reference-missing"), "id"),
+        missing_ends(edges, "sourceId", nodes).select(F.lit("source-missing").alias("check"), "id"),
+        missing_ends(edges, "targetId", nodes).select(F.lit("target-missing"), "id"),
+        missing_ends(edges, "referenceId", graph.references).select(F.lit("reference-missing"), "id"),
         nodes.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("duplicate-id"), "id"),
         edges.where(~F.col("relation").isin(*schema.RELATIONS) | ~F.col("rule").isin(*schema.RULES) | ~F.col("reason").isin(*schema.REASONS)).select(F.lit("unknown-code"), "id"),
         edges.where((F.col("status") != "unresolved") & F.col("targetId").isNull()).select(F.lit("resolved-without-target"), "id"),

@@ -48,7 +48,7 @@ def _size(payload: dict) -> int:
 def bound_payload(payload: dict, most: int = DEFAULT_PAYLOAD) -> str:
     """JSON of at most ``most`` bytes, with results and their evidence dropped together.
 
-    Sheds in order: pending paths from the end; query, error, revision and head down to 8 bytes; results from the
+    Sheds in order: the diff and pending paths from the end; query, error, revision and head down to 8 bytes; results from the
     end with their evidence, down to one; the top excerpt down to 32 bytes; evidence with its result; the rest.
     Pretty-printed if that fits.  Shed fields are named in ``truncatedFields``.
     """
@@ -63,6 +63,9 @@ def bound_payload(payload: dict, most: int = DEFAULT_PAYLOAD) -> str:
         p["truncatedFields"] = shed
 
     fits = lambda: _size(p) <= most
+    while not fits() and p.get("diff"):
+        p["diff"] = utf8_prefix(p["diff"], max(0, len(p["diff"].encode()) - max(64, _size(p) - most)))
+        note("diff")
     while not fits() and p.get("pendingPaths"):
         p["pendingPaths"].pop()
         note("pendingPaths")

@@ -127,6 +127,12 @@ def _in(column: Column, values: list[str]) -> Column:
     return column.isin(*values) if values else F.lit(False)
 
 
+def holding(names: Column, terms: list[str]) -> Column:
+    """Those of ``names`` that hold one of ``terms`` (lower-case)."""
+    held = F.array(*map(F.lit, terms)).cast("array<string>")
+    return F.filter(names, lambda n: F.exists(held, lambda t: F.contains(F.lower(n), t)))
+
+
 def rerank(hits: DataFrame, files: DataFrame, query: str) -> DataFrame:
     """``hits`` (path, score, query_terms) with features: final score, reasons, matched symbols."""
     normal = query.strip().replace("\\", "/").lower()
@@ -159,7 +165,7 @@ def rerank(hits: DataFrame, files: DataFrame, query: str) -> DataFrame:
     some = lambda label, c: F.when(F.size(c) > 0, T.bounded_reason(label, F.col(c)))
     reasons = [some("exact symbol", "_sym"), some("exact export", "_exp"), some("qualified path", "_qal"), F.when(F.col("_pth"), F.lit("exact path")), some("exact identifier", "_idn")]
     reasons += [F.when(noise[k], F.lit(f"de-boosted {k}")) for k in NOISE] + [some("matched terms", "query_terms")]
-    matched = F.transform(F.filter("symbols", lambda s: F.exists(strings(searchable), lambda t: F.contains(F.lower(s["name"]), t))), lambda s: s["name"])
+    matched = holding(F.transform("symbols", lambda s: s["name"]), searchable)
     return row.select(
         "path", score.alias("score"), "kind", matched.alias("matchedSymbols"),
         F.slice(F.filter(F.array(*reasons), lambda r: r.isNotNull()), 1, MAX_REASONS).alias("matchReasons"), "symbols", "dependencies",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import identity as I
@@ -232,9 +232,7 @@ def search_rerank(spark, sf_dir) -> DataFrame:
 
 @query("SELECT p_partkey, array_to_string(list_filter(string_split(p_name, ' '), lambda s: contains(lower(s), 'part') OR contains(lower(s), '12')), ' ') AS matched FROM part")
 def matched_symbols(spark, sf_dir) -> DataFrame:
-    terms = F.array(F.lit("part"), F.lit("12"))
-    hit = F.filter(F.split("p_name", " "), lambda s: F.exists(terms, lambda t: F.contains(F.lower(s), t)))
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(hit, " ").alias("matched"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(S.holding(F.split("p_name", " "), ["part", "12"]), " ").alias("matched"))
 
 
 # Lexical scan.
@@ -253,27 +251,28 @@ def scan_score(spark, sf_dir) -> DataFrame:
 
 @query(f"""
 WITH f AS (SELECT {DOC_PATH} AS path, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS size FROM documents),
-r AS (SELECT *, row_number() OVER w AS rank, sum(least(size, 4096)) OVER w - least(size, 4096) AS before FROM f WINDOW w AS (ORDER BY encode(path) ROWS UNBOUNDED PRECEDING)),
-b AS (SELECT *, (rank - 1) // 4 AS batch FROM r WHERE rank <= 500),
+r AS (SELECT *, row_number() OVER w AS rank, sum(least(size, 524288)) OVER w - least(size, 524288) AS before FROM f WINDOW w AS (ORDER BY encode(path) ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT *, (rank - 1) // 4 AS batch FROM r WHERE rank <= 20000),
 c AS (SELECT *, min(before) OVER (PARTITION BY batch) AS spent, count(*) OVER (PARTITION BY batch) AS members FROM b),
-a AS (SELECT *, least(4096, floor((greatest(400000 - spent, 0) + (rank - 1) % 4) / members)) AS allowed FROM c)
+a AS (SELECT *, least(524288, floor((greatest(33554432 - spent, 0) + (rank - 1) % 4) / members)) AS allowed FROM c)
 SELECT path, CAST(batch AS BIGINT) AS batch, CAST(least(size, allowed) AS BIGINT) AS bytes, size > allowed AS truncated FROM a WHERE allowed > 0
 """)
 def scan_budget(spark, sf_dir) -> DataFrame:
     sizes = texts(spark, sf_dir).select("path", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
-    plan = L.budget(sizes, L.Limits().lowered(files=500, file_bytes=4096, source_bytes=400_000))
-    return plan.select("path", "batch", F.col("bytes").cast("long").alias("bytes"), "truncated")
+    return L.budget(sizes).select("path", "batch", F.col("bytes").cast("long").alias("bytes"), "truncated")
+
+
+_NAMES = ("mail5.example.com", "mail3.example.com", "mail2.example.com", "enbest.54", "hein.19", "that.92")
 
 
 @query(f"""
-WITH f AS (SELECT {DOC_PATH} AS path, row_number() OVER (ORDER BY encode({DOC_PATH})) AS rank, lower(coalesce(text, '')) AS t FROM documents),
-h AS (SELECT min((rank - 1) // 4) AS stop FROM f WHERE contains(t, 'apache') AND contains(t, 'license'))
+WITH f AS (SELECT {DOC_PATH} AS path, row_number() OVER (ORDER BY encode({DOC_PATH})) AS rank, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_.-]+') AS runs FROM documents),
+h AS (SELECT min((rank - 1) // 4) AS stop FROM f WHERE len(list_intersect(runs, {list(_NAMES)})) >= 2)
 SELECT path, CAST((rank - 1) // 4 AS BIGINT) AS batch FROM f, h WHERE (rank - 1) // 4 <= stop
 """)
 def scan_early_stop(spark, sf_dir) -> DataFrame:
-    """The batches that a scan reads before the first one with a telling text."""
-    t = F.lower(F.coalesce("text", F.lit("")))
-    marked = texts(spark, sf_dir).select("path", (t.contains("apache") & t.contains("license")).alias("strong"))
+    """The batches that a scan reads up to the first one with a telling text."""
+    marked = L.strong_batches(texts(spark, sf_dir), " ".join(_NAMES)).select("path", "strong")
     ranked = L.running(marked, ["path"], {"rank": "1L"}).withColumn("batch", F.floor((F.col("rank") - 1) / L.BATCH))
     stop = ranked.where("strong").agg(F.min("batch").alias("stop"))
     return ranked.join(F.broadcast(stop), F.col("batch") <= F.col("stop")).select("path", "batch")
@@ -413,11 +412,10 @@ def external_modules(spark, sf_dir) -> DataFrame:
     return G.external_modules(work).select(F.col("literalSpecifier").alias("literal"), F.col("moduleKind").alias("module_kind"))
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0)")
+@query("SELECT doc_id FROM documents WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def endpoint_check(spark, sf_dir) -> DataFrame:
-    """Edges (orders) whose endpoint (customer) is missing from the nodes."""
-    nodes = table(spark, sf_dir, "customer").where(F.col("c_custkey") % 7 != 0)
-    return table(spark, sf_dir, "orders").join(nodes, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("o_orderkey")
+    """Edges (from each document to its label) whose end is missing from the nodes."""
+    return G.missing_ends(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
 
 
 # State.
@@ -549,5 +547,4 @@ SELECT o_orderkey, ordinal FROM o
 """)
 def occurrence_ordinals(spark, sf_dir) -> DataFrame:
     """Equal descriptors of one owner count up in recorded order."""
-    w = Window.partitionBy("o_custkey", "o_orderpriority").orderBy("o_orderkey")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.row_number().over(w).cast("long").alias("ordinal"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", G.occurrence("o_orderkey", "o_custkey", "o_orderpriority").cast("long").alias("ordinal"))

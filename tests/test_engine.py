@@ -7,7 +7,7 @@ import pytest
 
 from cairn.config import Config
 from cairn.engine import Engine
-from cairn.sources import snapshots
+from cairn.sources import live, snapshots
 
 
 @pytest.fixture()
@@ -62,6 +62,54 @@ def test_engine_reuses_a_clean_generation(spark, tree, tmp_path):
     assert Engine(spark, str(tree), str(tmp_path / "s2"), Config(enabled=False)).start().lifecycle == "disabled"
 
 
+def test_the_version_moves_with_the_content(spark, tree, tmp_path):
+    engine = Engine(spark, str(tree), str(tmp_path / "state"), use_git=False).start()
+    index = engine.index
+    engine.rebuild()
+    assert engine.content_version == 1 and engine.index is index
+    (tree / "notes.md").write_text("other\n")
+    engine.rebuild()
+    assert engine.content_version == 2 and engine.index is not index
+    assert engine.excerpt("notes.md") == "other\n" and engine.excerpt("../x") is None and engine.excerpt("none.md") is None
+
+
+def test_live_reads_and_fingerprints(tree, tmp_path):
+    root = str(tree)
+    (tree / "bin").write_bytes(b"a\0b")
+    (tree / "wide.txt").write_text("é" * 5000)
+    (tmp_path / "secret").write_text("s")
+    (tree / "link").symlink_to(tmp_path / "secret")
+    (tree / "out").symlink_to(tmp_path)
+    assert live.excerpt(root, "wide.txt", 5) == "éé"
+    for bad in ("bin", "link", "out/secret", "../secret", "/etc/passwd", "a//b", "src", ""):
+        with pytest.raises((live.Refused, OSError)):
+            live.excerpt(root, bad)
+    one = live.fingerprint(root, "notes.md")
+    assert one.reusable and one.value.startswith("file:") and live.fingerprint(root, "nope") == live.Fingerprint("missing", True)
+    ran = []
+    work = lambda p: ran.append(p) or ("read-error" if p == "bad.ts" else "indexed")
+    kept = live.Outcomes(root)
+    assert [kept.get(p, work) for p in ("notes.md", "notes.md", "bad.ts", "bad.ts")] == ["indexed"] * 2 + ["read-error"] * 2
+    assert ran == ["notes.md", "bad.ts", "bad.ts"]
+    (tree / "notes.md").write_text("changed\n")
+    kept.get("notes.md", work)
+    assert len(ran) == 4 and live.fingerprint(root, "notes.md") != one
+    kept.retain(["x"])
+    assert kept.kept == {}
+
+
+def test_diff_is_bounded_and_empty_on_failure(tree, tmp_path):
+    assert live.git_diff(str(tmp_path / "nowhere")) == ""
+    git = lambda *a: subprocess.run(["git", "-C", str(tree), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    git("init", "-q")
+    git("add", "-A")
+    git("commit", "-qm", "x")
+    assert live.git_diff(str(tree)) == ""
+    (tree / "notes.md").write_text("é" * 50_000)
+    diff = live.git_diff(str(tree))
+    assert diff.startswith("diff --git") and len(diff.encode()) <= live.DIFF_BYTES < len(diff.encode()) + 4
+
+
 def test_config():
     assert Config.parse(None) == Config.parse("{}") == Config()
     assert Config.parse('{"debounceMs": 5, "excludePatterns": ["a/**"]}').excludePatterns == ["a/**"]

@@ -103,3 +103,8 @@ def test_digests_leave_out_what_is_absent(spark):
     row = F.struct(F.lit("a").alias("name"), F.lit(None).cast("string").alias("source"), F.array().cast("array<string>").alias("types"))
     text = spark.range(1).select(I.canonical_json(row, keep_nulls=False)).first()[0]
     assert json.loads(text) == {"name": "a", "types": []}
+
+
+@pytest.mark.parametrize(("text", "valid"), [("2024-02-29", True), ("2023-02-29", False), ("2024-01-01T10:20:30.5Z", True), ("2024-01-01T25:00:00Z", False), ("2024-05", True), ("yesterday", False), ("", False), (None, False)])
+def test_instants(spark, text, valid):
+    assert spark.createDataFrame([(text,)], "t string").select(T.valid_instant("t")).first()[0] is valid

@@ -123,6 +123,33 @@ def test_strong_names_are_whole_and_two(spark):
     assert all(r.n == r.got for r in got)
 
 
+@pytest.mark.parametrize(
+    ("facts", "reason"),
+    [({}, "matched"), ({"results": 0}, "no-match"), ({"truncated": True}, "file-prefix-cap"), ({"spent": 10}, "source-byte-cap"), ({"files": 5}, "file-count-cap"), ({"listed": {"n": 8, "b": 1}}, "enumeration-path-cap"),
+     ({"listed": {"n": 3, "b": 99}}, "enumeration-byte-cap"), ({"listed": {"n": 8, "b": 99}, "early": True}, "matched"), ({"late": "source", "early": True}, "source-timeout"), ({"late": "enumeration"}, "enumeration-timeout"), ({"cancelled": True, "late": "source"}, "cancelled")],
+)
+def test_every_end_of_a_scan(facts, reason):
+    all_ = {"listed": {"n": 6, "b": 6}, "files": 1, "spent": 1, "truncated": False, "early": False, "results": 1} | facts
+    assert L.terminal(limits=L.Limits(paths=7, path_bytes=50, files=5, source_bytes=10), **all_) == (reason, L.ENDS[reason])
+
+
+def test_what_a_scan_shows_is_checked(spark):
+    kinds = "path string, score double, evidence string, excerpt string"
+    good = [("a/b.ts", 5e9, "source", "é" * 400), ("c.md", 1.0, "warming", "")]
+    show = lambda rows, end=("matched", "complete"), known=None: (lambda r: ({x.path: x for x in r[0].collect()}, r[1]))(L.sanitised(spark.createDataFrame(rows, kinds), end, known))
+    rows, end = show(good)
+    assert end == ("matched", "complete") and set(rows) == {"a/b.ts", "c.md"}
+    assert rows["a/b.ts"].score == L.SCORE_BOUND and len(rows["a/b.ts"].excerpt.encode()) == L.SHOWN_EXCERPT_BYTES
+    assert show(good, ("source-byte-cap", "source"))[0] and show(good, ("cancelled", "cancelled")) == ({}, ("cancelled", "cancelled"))
+    known = spark.createDataFrame([("a/b.ts",)], "path string")
+    for rows, end, of in (
+        ([*good, ("../x", 1.0, "source", "")], ("matched", "complete"), None), ([("a", float("nan"), "source", "")], ("matched", "complete"), None), ([("a", 1.0, "guess", "")], ("matched", "complete"), None),
+        ([("a", 1.0, "source", None)], ("matched", "complete"), None), (good, ("no-match", "complete"), None), (good, ("matched", "source"), None), (good, ("why", "complete"), None), (good, ("matched", "complete"), known),
+        (good + good[:1], ("matched", "complete"), None), ([(f"p{k}", 1.0, "source", "") for k in range(21)], ("matched", "complete"), None),
+    ):
+        assert show(rows, end, of) == ({}, ("invalid-scanner-output", "output")), (rows, end)
+
+
 def test_running_totals(spark):
     rows = [(i % 7, i, i * i) for i in range(500)]
     got = running(spark.createDataFrame(rows, "k long, i long, v long").repartition(7), ["k", "i"], {"place": "1L", "total": "v"}, 5).collect()
