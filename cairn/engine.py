@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from cairn import schema
 from cairn.config import Config, project_id
+from cairn.functions import paths as P
 from cairn.operators import graph, merge, scan, search, state
 from cairn.operators.materialise import materialise
 from cairn.sources import files as trees
 from cairn.sources import live
 from cairn.sources.generations import Store
+from cairn.streaming.maintenance import Maintenance
 
 # States, and bounds of what is shown and asked.
 LIFECYCLE = ("dormant", "disabled", "warming", "ready", "failed")
@@ -37,6 +39,8 @@ class Engine:
         self.pending: list[str] = []
         self.freshness, self.generation, self.head = "stale", 0, "no-head"
         self.content, self.content_version = None, 0
+        excluded = P.excludes(self.config.excludePatterns)
+        self.maintenance = Maintenance(self._notices, lambda path: bool(path) and not excluded(path), self.config.debounceMs)
 
     def _timed(self, name: str, work):
         start = time.monotonic()
@@ -117,6 +121,22 @@ class Engine:
         self.freshness = "dirty" if self.overlay.limit(1).count() else self.freshness
         self._serve(now)
 
+    def notify(self, event: str, path: str) -> None:
+        """Takes note of a change; ``maintenance.tick`` or ``flush`` works on it."""
+        if self.maintenance.notify(event, path):
+            self.freshness = "stale"
+
+    def flush(self) -> None:
+        """Works on what was noted, within the bounds of a drain; what is left stays pending."""
+        self.maintenance.drain()
+
+    def _notices(self, updates: list[tuple[str, str, int]]) -> None:
+        self.apply(self.spark.createDataFrame(updates, "path string, event string, seq long"))
+        if self.maintenance.queue:
+            self.freshness = "stale"
+        elif not self.pending:
+            self.freshness = "dirty" if self.overlay.limit(1).count() else "fresh"
+
     # Asking.
 
     def search(self, query: str, limit: int = 10, mode: str = "auto") -> DataFrame:
@@ -126,7 +146,8 @@ class Engine:
         self.telemetry["searchAttemptCount"] += 1
         columns = ["path", "score", "kind", "matchedSymbols", "matchReasons"]
         if mode == "index" or (mode == "auto" and self.index is not None):
-            return self._timed("repoMapQuery", lambda: search.search(self.index, query, limit).select(*columns))
+            with self.maintenance.lease():
+                return self._timed("repoMapQuery", lambda: search.search(self.index, query, limit).select(*columns))
         self.telemetry["lexicalFallbackAttemptCount"] += 1
         found = self.scan(query, limit)
         reason = F.concat(F.lit("direct lexical fallback: "), F.col("coverage").cast("string"), F.when(F.col("coverage") == 1, " query term").otherwise(" query terms"))
@@ -150,7 +171,7 @@ class Engine:
         rows = [r.asDict(recursive=True) for r in self.search(query, limit).collect()]
         evidence = [r.asDict() for r in self.evidence(query).collect()] if self.index is not None and self.freshness == "stale" else []
         diff = live.git_diff(self.root) if self.use_git and self.freshness == "stale" else ""
-        return merge.bound_payload({"query": query, "freshness": self.freshness, "head": self.head, "results": rows, "evidence": evidence, "diff": diff, "pendingPaths": self.pending}, self.config.searchMaxBytes)
+        return merge.bound_payload({"query": query, "freshness": self.freshness, "head": self.head, "results": rows, "evidence": evidence, "diff": diff, "pendingPaths": sorted({*self.pending, *self.maintenance.pending})}, self.config.searchMaxBytes)
 
     def excerpt(self, path: str) -> str | None:
         """The start of a file of a local tree as it is now, or None where it may not be shown."""
@@ -167,8 +188,9 @@ class Engine:
         dirty = self.overlay if self.overlay is not None else self.spark.createDataFrame([], "path string, hash string")
         shown = [r["path"] for r in dirty.select("path").orderBy("path").limit(SHOWN_PATHS).collect()]
         files = self.index.files.count() if self.index is not None else 0
+        pending = sorted({*self.pending, *self.maintenance.pending})
         row = (
-            project_id(self.root), self.lifecycle, self.freshness, self.generation, self.head, files, state.revision(self.head, dirty).first()[0], self.pending[:SHOWN_PATHS], max(0, len(self.pending) - SHOWN_PATHS),
+            project_id(self.root), self.lifecycle, self.freshness, self.generation, self.head, files, state.revision(self.head, dirty).first()[0], pending[:SHOWN_PATHS], max(0, len(pending) - SHOWN_PATHS),
             shown, dirty.count() - len(shown), bool(self.failures) or self.lifecycle in ("warming", "failed"), dict(self.telemetry),
         )
         kinds = "project string, lifecycle string, freshness string, generation long, head string, files long, revision string, pending array<string>, omittedPending long, dirty array<string>, omittedDirty long, degraded boolean, telemetry map<string,long>"

@@ -46,9 +46,3 @@ def domain_id_of(prefix: str, domain: str, payload) -> str:
 def row_digest(value: Column) -> Column:
     """Digest of a recorded row; absent (null) fields are left out."""
     return F.concat(F.lit("sha256:"), F.sha2(canonical_json(value, keep_nulls=False).cast("binary"), 256))
-
-
-def workspace_revision(head: Column, entries: Column) -> Column:
-    """sha256 over the head and the (path, hash) ``entries`` (an array of structs) in path order, NUL between."""
-    flat = F.flatten(F.transform(F.array_sort(entries), lambda e: F.array(e["path"], e["hash"])))
-    return F.sha2(F.array_join(F.concat(F.array(head), flat), "\x00").cast("binary"), 256)

@@ -50,6 +50,12 @@ def excluded_by(path, patterns) -> Column:
     return out | _col(path).rlike("|".join(f"(?:{e})" for e in expressions)) if expressions else out
 
 
+def excludes(patterns):
+    """The same as a test of single paths, for notices of changes."""
+    expressions = [re.compile(glob_to_regex(p)) for p in patterns if p.strip() and not p.startswith("!")]
+    return lambda path: not set(path.split("/")).isdisjoint(EXCLUDED_SEGMENTS) or any(e.search(path) for e in expressions)
+
+
 def ignore_rules(lines) -> list[dict]:
     """Ordered rules of an ignore file; blank lines and comments are dropped."""
     out = []

@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.identity import workspace_revision
 from cairn.functions.paths import canonical_path
 from cairn.operators.ordered import running
 
@@ -64,9 +63,23 @@ def freshness(failed, pending, queued, read_errors, degraded, dirty) -> Column:
 
 
 def revision(head: str, overlay: DataFrame) -> DataFrame:
-    """One row: the workspace revision of the dirty entries (path, hash)."""
-    entries = F.collect_list(F.struct("path", "hash"))
-    return overlay.where(F.col("hash").isNotNull()).agg(entries.alias("e")).select(workspace_revision(F.lit(head), F.col("e")).alias("revision"))
+    """One row: the workspace revision, sha256 over the head and the dirty entries (path, hash) in path order, NUL between.
+
+    The entries are sorted by ranges and joined in their tasks; the driver digests one task's bytes after the other, so
+    it holds no more than those.
+    """
+    import hashlib
+
+    def joined(batches):
+        for batch in batches:
+            yield batch.groupby(lambda _: 0)["entry"].apply(lambda e: "".join(e).encode()).to_frame("bytes")
+
+    entry = F.concat(F.lit("\x00"), "path", F.lit("\x00"), "hash").alias("entry")
+    ordered = overlay.where(F.col("hash").isNotNull()).select("path", "hash").orderBy("path").select(entry)
+    digest = hashlib.sha256(head.encode())
+    for row in ordered.mapInPandas(joined, "bytes binary").toLocalIterator():
+        digest.update(row["bytes"])
+    return overlay.sparkSession.createDataFrame([(digest.hexdigest(),)], "revision string")
 
 
 def content_identity(files: DataFrame, *columns: str) -> str:

@@ -8,6 +8,7 @@ import pytest
 from cairn.config import Config
 from cairn.engine import Engine
 from cairn.sources import live, snapshots
+from cairn.streaming.maintenance import NOTICES_A_PASS, PASSES, Maintenance
 
 
 @pytest.fixture()
@@ -73,6 +74,40 @@ def test_the_version_moves_with_the_content(spark, tree, tmp_path):
     assert engine.excerpt("notes.md") == "other\n" and engine.excerpt("../x") is None and engine.excerpt("none.md") is None
 
 
+def test_notices_wait_for_quiet_and_drain_in_passes():
+    now, done = [0.0], []
+    m = Maintenance(done.append, lambda p: not p.startswith("skip"), 300, lambda: now[0])
+    assert [m.notify("change", p) for p in ("a.ts", "./b.ts", "skip/x", "/abs", "C:/x", "../up", "x/../y")] == [True, True] + [False] * 5 and not m.notify("moved", "a.ts")
+    assert m.pending == ["a.ts", "b.ts"] and m.epoch == 2 and not m.tick()
+    now[0] = 0.2
+    m.notify("unlink", "a.ts")
+    now[0] = 0.4
+    assert not m.tick(), "each notice starts the quiet period anew"
+    now[0] = 0.6
+    with m.lease() as epoch:
+        assert epoch == m.epoch and not m.tick()
+    assert m.tick() and done == [[("a.ts", "change", 1), ("b.ts", "change", 2), ("a.ts", "unlink", 3)]] and m.pending == []
+    for k in range(NOTICES_A_PASS * PASSES + 5):
+        m.notify("add", f"f{k:04}")
+    assert m.drain() == PASSES and len(m.pending) == 5 and m.due is not None and all(len(x) <= NOTICES_A_PASS for x in done)
+    m.work = lambda some: now.__setitem__(0, now[0] + 2) or 1 / 0
+    for k in range(NOTICES_A_PASS):
+        m.notify("add", f"g{k}")
+    assert m.drain() == 1 and len(m.pending) == 5 and m.failures == ["ZeroDivisionError: division by zero"]
+
+
+def test_engine_follows_notices(spark, tree, tmp_path):
+    engine = Engine(spark, str(tree), str(tmp_path / "state"), Config(excludePatterns=["*.log"]), use_git=False).start()
+    (tree / "src/util.ts").write_text("export function parseFooter() {}\n")
+    engine.notify("change", "x.log")
+    assert engine.freshness != "stale"
+    engine.notify("change", "src/util.ts")
+    row = engine.status().first()
+    assert (row.freshness, row.pending) == ("stale", ["src/util.ts"])
+    engine.flush()
+    assert engine.freshness == "dirty" and engine.maintenance.pending == [] and engine.search("parseFooter").first().path == "src/util.ts"
+
+
 def test_live_reads_and_fingerprints(tree, tmp_path):
     root = str(tree)
     (tree / "bin").write_bytes(b"a\0b")
