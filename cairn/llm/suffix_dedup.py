@@ -625,12 +625,12 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     is_first = id_.bitwiseXOR(F.col("id")) == 0
     joined = docs.join(units.select("k", "id", "unit"), F.col("key") == F.col("k"))
     first = joined.where(is_first).select("unit", "id", "text")
-    dealt = first.mapInArrow(_find_anchors(buckets), ANCHORS_DDL).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = first.mapInArrow(_find_anchors(buckets), ANCHORS_DDL).repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
     places = dealt.mapInArrow(_repeated, "unit long, places binary").groupBy("unit").agg(F.collect_list("places").alias("places"))
 
     there = units.select("k", "id", "unit").join(places, "unit")
     again = docs.join(there, F.col("key") == F.col("k")).where(is_first).select("unit", "id", "text", "places")
-    dealt = again.mapInArrow(_find_contexts(FINER * buckets, held), CONTEXTS_DDL).repartition(FINER * buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = again.mapInArrow(_find_contexts(FINER * buckets, held), CONTEXTS_DDL).repartitionById(FINER * buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
     runs = dealt.mapInArrow(_settle, "unit long, runs binary").groupBy("unit").agg(F.collect_list("runs").alias("runs"))
 
     there = units.select("k", "id", "unit").join(runs, "unit", "left").drop("unit")
