@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cairn import schema
 from cairn.config import Config, project_id
 from cairn.functions import paths as P
-from cairn.operators import graph, merge, scan, search, state
+from cairn.operators import graph, guards, merge, scan, search, state
 from cairn.operators.materialise import materialise
 from cairn.sources import files as trees
 from cairn.sources import live
@@ -181,7 +181,11 @@ class Engine:
             return None
 
     def graph(self) -> graph.Graph:
-        return graph.build_graph(self.index.files)
+        """The checked graph of what is served; raises ``graph.GraphError``."""
+        guards.check_input(self.index.files)
+        built = graph.build_graph(self.index.files)
+        guards.check_graph(built)
+        return built
 
     def status(self) -> DataFrame:
         """One row: lifecycle, freshness, generation, counts, the first pending and dirty paths, telemetry."""

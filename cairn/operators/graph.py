@@ -389,9 +389,3 @@ def violations(graph: Graph) -> DataFrame:
         edges.where((F.col("status") != "unresolved") & F.col("targetId").isNull()).select(F.lit("resolved-without-target"), "id"),
     ]
     return reduce(DataFrame.union, out)
-
-
-def check_limits(counts: dict[str, int], limits: dict[str, int] = schema.GRAPH_LIMITS) -> None:
-    for k, n in counts.items():
-        if n > limits[k]:
-            raise GraphError(f"{k}-bound-exceeded", "validate", f"{n} > {limits[k]}")

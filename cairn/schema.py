@@ -36,5 +36,11 @@ REASONS = (
     "export-symbol-binding-unavailable", "raw-dependency-role-unavailable", "java-relationship-binding-deferred",
 )
 CANDIDATES_KEPT, EVIDENCE_KEPT = 32, 64
-#: Most rows of a graph input or output before it is refused.
-GRAPH_LIMITS = {"files": 100_000, "symbols": 1_000_000, "references": 1_000_000, "edges": 1_000_000, "evidence": 1_000_000}
+#: Most rows, entries and bytes of a graph's input or output before it is refused.
+GRAPH_LIMITS = {
+    "pathBytes": 4_096, "stringBytes": 16_384, "files": 100_000, "warnings": 100_000, "dirtyEntries": 100_000, "pendingPaths": 100_000, "symbols": 1_000_000,
+    "references": 1_000_000, "externalModules": 250_000, "edges": 1_000_000, "evidence": 1_000_000, "importsPerFile": 10_000, "exportsPerFile": 10_000,
+    "symbolsPerFile": 50_000, "dependenciesPerFile": 20_000, "lexicalTermsPerFile": 2_000, "importNames": 1_024, "symbolNestedEntries": 1_024,
+    "relationships": 10_000, "retainedEvidence": EVIDENCE_KEPT, "retainedCandidates": CANDIDATES_KEPT, "canonicalInputBytes": 256 * 1024 * 1024,
+    "serializedGraphBytes": 256 * 1024 * 1024,
+}

@@ -9,6 +9,7 @@ from cairn import schema
 from cairn.functions import identity as I
 from cairn.functions import text as T
 from cairn.operators import graph as G
+from cairn.operators import guards
 from cairn.operators import merge as M
 from cairn.operators import scan as L
 from cairn.operators import search as S
@@ -242,8 +243,35 @@ def test_assembly_ids_and_evidence(spark):
 def test_graph_of_nothing_and_limits(spark):
     g = G.build_graph(table(spark, []))
     assert g.edges.count() == 0 and G.violations(g).count() == 0
-    with pytest.raises(G.GraphError, match="files-bound-exceeded"):
-        G.check_limits({"files": 100_001})
+    guards.check_input(table(spark, []))
+    guards.check_graph(g)
+
+
+def test_what_a_graph_is_built_from_is_checked(spark):
+    name = lambda **more: {"name": "n", "kind": "class", "signature": "s", "exported": True, "line": 1, "container": None, "annotations": None, "modifiers": None, "typeParameters": None, "relationships": None, **more}
+    cases = {
+        "invalid-path": [file("../x"), file("/abs"), file(None)], "invalid-enum": [file("k", kind="odd"), file("l", language="c"), file("s", symbols=[name(kind="odd")])],
+        "invalid-hash": [file("h", contentHash="A" * 64), file("i", contentHash="a" * 63)], "invalid-snapshot": [file("z", sizeBytes=-1), file("./dot")],
+        "nested-bound-exceeded": [
+            file("p" * 5000), file("t", lexicalTerms=["x"] * 2001), file("n", imports=[imp("a", ["b"] * 1025)]), file("m", symbols=[name(modifiers=["m"] * 1025)]), file("g", symbols=[name(signature="s" * 16_385)]),
+            file("q", packageName="p" * 16_385), file("r", symbols=[name(relationships={"extends": ["a"] * 5001, "implements": ["a"] * 5000, "permits": []})]),
+        ],
+    }
+    rows = [f for fs in cases.values() for f in fs]
+    got = {(r.path, r.code) for r in guards.failures(table(spark, [file("good", symbols=[name()], imports=[imp("a", ["b"])]), file("twice"), file("twice"), *rows])).collect()}
+    assert got == {(f["path"], code) for code, fs in cases.items() for f in fs} | {("twice", "path-collision")}
+    for files, limits, code, phase in (
+        ([file("b"), file("a"), file("b")], {}, "path-collision", "canonicalize"), ([file("a"), file("b")], {"files": 1}, "count-bound-exceeded", "validate"), ([file("a", symbols=[name(), name()])], {"symbols": 1}, "count-bound-exceeded", "validate"),
+        ([file("a")], {"canonicalInputBytes": 9}, "canonical-input-bound-exceeded", "identify"),
+    ):
+        with pytest.raises(G.GraphError) as e:
+            guards.check_input(table(spark, files), schema.GRAPH_LIMITS | limits)
+        assert (e.value.code, e.value.phase) == (code, phase)
+    g = G.build_graph(table(spark, [file("a", symbols=[name()], imports=[imp("b", ["c"])])]))
+    guards.check_graph(g)
+    for limits, code in (({"edges": 0}, "count-bound-exceeded"), ({"serializedGraphBytes": 9}, "serialized-graph-bound-exceeded")):
+        with pytest.raises(G.GraphError, match=code):
+            guards.check_graph(g, schema.GRAPH_LIMITS | limits)
 
 
 # State
