@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
         yield pd.DataFrame({"n": [n.tobytes()], "docs": [docs_seen.tobytes()]})
 
     n, seen, vectors = np.zeros((2, 1 << BITS)), np.zeros(2), "n binary, docs binary"
-    for r in sample.mapInPandas(count, vectors).coalesce(SUMS).mapInPandas(add, vectors).collect():
+    for r in sample.mapInPandas(count, vectors).repartition(SUMS).mapInPandas(add, vectors).collect():
         n += np.frombuffer(r["n"], np.int32).reshape(2, -1)
         seen += np.frombuffer(r["docs"], np.int64)
     slots = np.full(1 << BITS, -1, np.int32)
