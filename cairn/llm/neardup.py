@@ -81,7 +81,7 @@ def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _key():
-    return F.sha2(text_or_empty().cast("binary"), 256)
+    return F.unhex(F.sha2(text_or_empty().cast("binary"), 256))
 
 
 def _nodes(docs: DataFrame, n: int) -> DataFrame:
