@@ -51,7 +51,7 @@ from cairn.llm.shingles import mix
 
 LENGTH = 50
 GRAM = 20
-#: Texts whose key starts below this are sampled for frequent anchors: those of at least so many sampled texts, and
+#: Texts whose key, in hex, starts below this are sampled for frequent anchors: those of at least so many sampled texts, and
 #: of at least this share of them.
 HOT_SAMPLE, HOT_LEAST, HOT_SHARE, HOT_MOST = "04", 16, 0.001, 1 << 16
 #: Bytes of text whose anchors share a bucket on average, and the least number of buckets.
@@ -380,7 +380,7 @@ def _count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def frequent_anchors(texts: DataFrame) -> np.ndarray:
     """Hashes of the anchors that are frequent in a sample of ``texts`` (key, text), sorted."""
-    sample = texts.where(F.substring("key", 1, len(HOT_SAMPLE)) < HOT_SAMPLE)
+    sample = texts.where(F.substring(F.hex("key"), 1, len(HOT_SAMPLE)) < HOT_SAMPLE)
     counts = sample.select("text").mapInArrow(_count_anchors, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
     least = max(HOT_LEAST, int(HOT_SHARE * sample.count()))
     rows = counts.where(F.col("n") >= least).orderBy(F.col("n").desc(), "hash").limit(HOT_MOST).select("hash").collect()
@@ -611,7 +611,7 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     With ``keep_bytes`` the remaining bytes follow as ``kept``.
     """
     body = text_or_empty().cast("binary")
-    docs = docs.select("doc_id", body.alias("text"), F.sha2(body, 256).alias("key"))
+    docs = docs.select("doc_id", body.alias("text"), F.unhex(F.sha2(body, 256)).alias("key"))
     slim = docs.select("key", F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("id"), F.octet_length("text").alias("n"))
     units = slim.groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n"))
     units = checkpoint(units.select(F.col("key").alias("k"), "id", "n", F.monotonically_increasing_id().alias("unit")))
